@@ -1,0 +1,121 @@
+"""Most frequent items of a column in bounded memory, by combinatorial group testing."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Bits of an item's hash that the sketch spells out, the prime of its bucket hashes, and their factors (fixed values).
+BITS = 40
+PRIME = 1_099_511_627_791
+FACTORS = (2_654_435, 1_640_531, 3_266_489, 668_265)
+MOST_WIDTH = 1 << 15
+
+
+@dataclass
+class Sketch:
+    """total[row, bucket] and ones[row, bucket, bit] of a whole column."""
+
+    total: np.ndarray
+    ones: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return self.total.shape[1]
+
+    def buckets(self, items: np.ndarray) -> np.ndarray:
+        """The bucket of each item's hash in each row."""
+        return np.stack([(items * f + r) % PRIME % self.width for r, f in enumerate(FACTORS[: len(self.total)])])
+
+    def decode(self) -> np.ndarray:
+        """Hashes of the items that outweigh the rest of some bucket."""
+        bits = (2 * self.ones > self.total[..., None]).astype(np.int64)
+        spelt = (bits << np.arange(BITS, dtype=np.int64)).sum(axis=2)
+        rows, cols = np.nonzero(self.total)
+        found = spelt[rows, cols]
+        return np.unique(found[self.buckets(found)[rows, np.arange(len(found))] == cols])
+
+    def estimate(self, items: np.ndarray) -> np.ndarray:
+        """Upper bounds of the items' counts: the least counter that every row of theirs has to feed."""
+        at = self.buckets(items)
+        bits = (items[:, None] >> np.arange(BITS, dtype=np.int64)) & 1
+        best = np.full(len(items), np.iinfo(np.int64).max)
+        for r in range(len(self.total)):
+            ones, total = self.ones[r, at[r]], self.total[r, at[r]]
+            best = np.minimum(best, np.where(bits == 1, ones, total[:, None] - ones).min(axis=1, initial=np.iinfo(np.int64).max))
+        return best
+
+    def most_of_others(self, items: np.ndarray, counts: np.ndarray) -> int:
+        """No item apart from these, whose exact counts are given, can have more rows than this."""
+        rest = self.total.copy()
+        for r, at in enumerate(self.buckets(items)):
+            np.subtract.at(rest[r], at, counts)
+        return int(rest.max(axis=1).min()) if rest.size else 0
+
+
+def item_hash(item: Column) -> Column:
+    """The 40-bit hash by which the sketch knows an item."""
+    return F.pmod(F.xxhash64(item), F.lit(1 << BITS))
+
+
+def build_sketch(items: DataFrame, item: str, width: int, depth: int = 3) -> Sketch:
+    """The sketch of ``items[item]``; nulls do not count.
+
+    Every task adds its rows into depth * width groups of 41 counters, so its memory and what it sends are bounded; the
+    sum of all tasks' counters, of the same size, is all that reaches the driver.
+    """
+    h = items.filter(F.col(item).isNotNull()).select(item_hash(F.col(item)).alias("h"))
+    rows = F.array(*[F.struct(F.lit(r).alias("r"), F.pmod(F.pmod(F.col("h") * f + r, F.lit(PRIME)), F.lit(width)).cast("int").alias("b")) for r, f in enumerate(FACTORS[:depth])])
+    fed = h.select("h", F.explode(rows).alias("at"))
+    counted = fed.groupBy("at.r", "at.b").agg(
+        F.count("*").alias("total"), *[F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"b{i}") for i in range(BITS)]
+    )
+    got = counted.toPandas()
+    total, ones = np.zeros((depth, width), np.int64), np.zeros((depth, width, BITS), np.int64)
+    if len(got):
+        r, b = got["r"].to_numpy(), got["b"].to_numpy()
+        total[r, b] = got["total"].to_numpy()
+        ones[r, b] = got[[f"b{i}" for i in range(BITS)]].to_numpy()
+    return Sketch(total, ones)
+
+
+def most_frequent(items: DataFrame, item: str, k: int, width: int = 2048, depth: int = 3) -> DataFrame:
+    """The ``k`` most frequent values: the item, n (exact), n_estimate (from the sketch, never below n).
+
+    Ties at the end go to the lesser value; nulls do not count; fewer than ``k`` distinct values give fewer rows.
+
+    The sketch decodes the candidates, and one more pass counts only these. Then the sketch, less the counted items,
+    bounds all values that were not decoded. While that bound reaches the k-th count, the sketch is built anew at four
+    times the width; beyond ``MOST_WIDTH`` (data without frequent values), all values are counted instead.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    spark = items.sparkSession
+    while True:
+        sketch = build_sketch(items, item, width, depth)
+        found = sketch.decode()
+        guess = sketch.estimate(found) if len(found) else found
+        candidates = spark.createDataFrame([(int(h), int(n)) for h, n in zip(found, guess)], "_h bigint, n_estimate bigint")
+        counted = (
+            items.filter(F.col(item).isNotNull())
+            .select(F.col(item), item_hash(F.col(item)).alias("_h"))
+            .join(F.broadcast(candidates), "_h")  # depth * MOST_WIDTH rows at most
+            .groupBy(item, "_h", "n_estimate")
+            .agg(F.count("*").alias("n"))
+        )
+        best = counted.orderBy(F.desc("n"), item).limit(k)
+        if not sketch.total.any():
+            return best.select(item, "n", "n_estimate")
+        sums = counted.groupBy("_h").agg(F.sum("n").alias("n")).toPandas()
+        rows = best.collect()
+        rest = sketch.most_of_others(sums["_h"].to_numpy(), sums["n"].to_numpy())
+        if rest == 0 or len(rows) == k and rows[-1]["n"] > rest:
+            kind = items.schema[item].dataType.simpleString()
+            return spark.createDataFrame([(r[item], r["n"], r["n_estimate"]) for r in rows], f"`{item}` {kind}, n bigint, n_estimate bigint")
+        if width * 4 > MOST_WIDTH:
+            every = items.filter(F.col(item).isNotNull()).groupBy(item).agg(F.count("*").alias("n"))
+            return every.orderBy(F.desc("n"), item).limit(k).withColumn("n_estimate", F.col("n"))
+        width *= 4

@@ -20,8 +20,8 @@ def _numbered(rows: DataFrame, by: Sequence[str], start: str, end: str, gap_ms:
     return flagged.withColumn("_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def sessionize(df: DataFrame, keys: dict[str, Column], at_ms: Column, gap_ms: int, bucket_ms: int = HOUR_MS) -> DataFrame:
-    """One row per key and session: the key columns, first_ms, last_ms, n_rows.
+def sessionize(df: DataFrame, keys: dict[str, Column], at_ms: Column, gap_ms: int, bucket_ms: int = HOUR_MS, value: Column | None = None) -> DataFrame:
+    """One row per key and session: the key columns, first_ms, last_ms, n_rows; with ``value``, its sum as total.
 
     Neighbours in time share a session when they differ by ``gap_ms`` or less. Rows with a null key column or a null
     time have no session; ties and repeated rows count in ``n_rows``; an empty table gives no rows; columns other than
@@ -34,14 +34,17 @@ def sessionize(df: DataFrame, keys: dict[str, Column], at_ms: Column, gap_ms: in
     if gap_ms < 0 or bucket_ms <= 0:
         raise ValueError("gap_ms must not be negative and bucket_ms must be positive")
     names = [f"_key{i}" for i in range(len(keys))]
-    rows = df.select(*[c.alias(n) for n, c in zip(names, keys.values())], at_ms.alias("_ms")).dropna()
-    counted = rows.groupBy(*names, "_ms").agg(F.count("*").alias("_n"))
+    summed = [] if value is None else [F.sum("_v").alias("_v")]
+    rows = df.select(
+        *[c.alias(n) for n, c in zip(names, keys.values())], at_ms.alias("_ms"), *([] if value is None else [value.alias("_v")])
+    ).dropna(subset=[*names, "_ms"])
+    counted = rows.groupBy(*names, "_ms").agg(F.count("*").alias("_n"), *summed)
     bucketed = counted.withColumn("_bucket", floor_div(F.col("_ms"), bucket_ms))
     within = [*names, "_bucket"]
     local = (
         _numbered(bucketed, within, "_ms", "_ms", gap_ms)
         .groupBy(*within, "_no")
-        .agg(F.min("_ms").alias("_first"), F.max("_ms").alias("_last"), F.sum("_n").alias("_n"))
+        .agg(F.min("_ms").alias("_first"), F.max("_ms").alias("_last"), F.sum("_n").alias("_n"), *summed)
     )
     low = F.col("_bucket") * bucket_ms
     touches = (F.col("_first") - (low - 1) <= gap_ms) | (low + bucket_ms - F.col("_last") <= gap_ms)
@@ -49,6 +52,7 @@ def sessionize(df: DataFrame, keys: dict[str, Column], at_ms: Column, gap_ms: in
     routed = local.withColumn("_route", F.when(~touches, F.col("_first")))
     stitched = _numbered(routed, [*names, "_route"], "_first", "_last", gap_ms)
     out = stitched.groupBy(*names, "_route", "_no").agg(
-        F.min("_first").alias("first_ms"), F.max("_last").alias("last_ms"), F.sum("_n").alias("n_rows")
+        F.min("_first").alias("first_ms"), F.max("_last").alias("last_ms"), F.sum("_n").alias("n_rows"), *summed
     )
-    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "first_ms", "last_ms", "n_rows")
+    total = [] if value is None else [F.col("_v").alias("total")]
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "first_ms", "last_ms", "n_rows", *total)

@@ -179,7 +179,32 @@ _SMALL = f"""
 """
 _RECORDS = f"r AS (SELECT record_id, {_CLEAN.format('path')} AS path, epoch_us(event_time) AS event_us, payload FROM sink_records)"
 
+_F = '("(?:[^"]|"")*"|[^",]*)'
+_END = 4_102_444_800_000
+_READ = f"""
+    k AS (SELECT raw_id, line, lower(trim(format, ' ')) AS kind FROM raw_lines),
+    c AS (SELECT *, kind = 'csv' AS csv, kind = 'jsonl' AND json_valid(line) AND NOT regexp_matches(line, ',[ ]*[}}\\]]') AND json_type(CASE WHEN json_valid(line) THEN line END) = 'OBJECT' AS obj,
+                 regexp_full_match(line, '(?s){_F}(,{_F})*') AS quoted, regexp_full_match(line, '(?s){_F},{_F},{_F},{_F}') AS four FROM k),
+    f AS (SELECT *, [CASE WHEN starts_with(q, '"') THEN replace(q[2:-2], '""', '"') ELSE q END
+                     FOR q IN [{', '.join(f"regexp_extract(line, '(?s)^{_F},{_F},{_F},{_F}$', {i})" for i in (1, 2, 3, 4))}]] AS v FROM
+          (SELECT *, CASE WHEN obj THEN line END AS j FROM c)),
+    t AS (SELECT *, CASE WHEN csv AND regexp_full_match(v[1], '[+-]?[0-9]+') THEN TRY_CAST(v[1] AS BIGINT)
+                         WHEN obj AND json_type(j, '$.event_time') IN ('BIGINT', 'UBIGINT') THEN TRY_CAST(json_extract_string(j, '$.event_time') AS BIGINT)
+                         WHEN obj AND json_type(j, '$.event_time') = 'VARCHAR' AND regexp_full_match(json_extract_string(j, '$.event_time'),
+                              '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[Tt ]([01][0-9]|2[0-3]):[0-9]{{2}}:[0-9]{{2}}(\\.[0-9]+)?([Zz]|[+-][0-9]{{2}}:[0-9]{{2}})')
+                         THEN epoch_us(TRY_CAST(json_extract_string(j, '$.event_time') AS TIMESTAMPTZ)) // 1000 END AS ms FROM f),
+    r AS (SELECT *, CASE WHEN kind IS NULL OR kind NOT IN ('csv', 'jsonl') THEN 'format'
+                         WHEN csv AND NOT quoted THEN 'quoting' WHEN csv AND NOT four THEN 'columns' WHEN NOT csv AND NOT obj THEN 'json'
+                         WHEN ms IS NULL OR ms < 0 OR ms >= {_END} THEN 'event_time'
+                         WHEN csv AND v[3] <> '' AND NOT regexp_full_match(v[3], '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'x'
+                         WHEN NOT csv AND json_type(j, '$.x') NOT IN ('NULL', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN 'x' END AS reason FROM t)
+"""
+
 ORACLES = {
+    "p5_found": f"WITH {_READ} SELECT raw_id, reason FROM r WHERE reason IS NOT NULL",
+    "p5_loaded": f"""WITH {_READ} SELECT raw_id, ms AS event_ms, CASE WHEN csv THEN v[2] ELSE json_extract_string(j, '$.word') END AS word,
+        TRY_CAST(CASE WHEN csv THEN v[3] ELSE json_extract_string(j, '$.x') END AS DOUBLE) AS x,
+        CASE WHEN csv THEN v[4] ELSE json_extract_string(j, '$.user_id') END AS user_id FROM r WHERE reason IS NULL""",
     "p1_found": f"{_session_sql(_WORD, 'x')} SELECT k AS word, first_ms AS window_start_ms, last_ms + {GAP_MS} AS window_end_ms FROM x",
     "p1_sessions": f"{_session_sql(_WORD, 'x')} SELECT k AS word, first_ms, last_ms, n_rows, last_ms - first_ms AS duration_ms FROM x",
     "p1_user_sessions": f"{_session_sql('user_id', 'x')} SELECT k AS user_id, first_ms, last_ms, n_rows, last_ms - first_ms AS duration_ms FROM x",

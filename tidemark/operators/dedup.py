@@ -98,15 +98,20 @@ def _screen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def copies(df: DataFrame, ids: dict[str, Column], at_ms: Column, order: list[Column], bucket_ms: int, keep: list[str] = ()) -> DataFrame:
     """One row per identifier and time bucket: the identifier, _bucket, _hash, n, and ``_first``, the earliest copy.
 
-    ``_first`` is a struct of the order columns and the columns in ``keep``. Rows of which a part of the identifier is
+    ``_first``, if any order or kept columns are given, is a struct of the order columns and the columns in ``keep``. Rows of which a part of the identifier is
     null are left out; a null time counts as bucket 0.
     """
+    row = [c.alias(f"_o{i}") for i, c in enumerate(order)] + [df[c].alias(c) for c in keep]
     rows = df.select(
         *[c.alias(k) for k, c in ids.items()],
         F.coalesce(floor_div(at_ms, bucket_ms), F.lit(0).cast("bigint")).alias("_bucket"),
-        F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], *[df[c].alias(c) for c in keep]).alias("_row"),
-    ).dropna(subset=list(ids))
-    each = rows.groupBy(*ids, "_bucket").agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
+        *([F.struct(*row).alias("_row")] if row else []),
+    )
+    for k in ids:
+        rows = rows.filter(F.col(k).isNotNull())
+    each = rows.groupBy(*ids, "_bucket").agg(F.count("*").alias("n"), *([F.min("_row").alias("_first")] if row else []))
+    # Always true: it keeps every use of these rows to one and the same shuffle, which Spark then makes once.
+    each = each.filter((F.col("n") > 0) & F.col("_first").isNotNull() if row else F.col("n") > 0)
     return each.withColumn("_hash", F.xxhash64(*ids))
 
 
@@ -145,7 +150,7 @@ def deduplicate(df: DataFrame, ids: dict[str, Column], at_ms: Column, order: lis
 
 def redelivered(df: DataFrame, ids: dict[str, Column], at_ms: Column, bucket_ms: int) -> DataFrame:
     """Identifiers that more than one row has."""
-    each = copies(df, ids, at_ms, [F.lit(0)], bucket_ms)
+    each = copies(df, ids, at_ms, [], bucket_ms)
     inside = each.filter(F.col("n") > 1).select(*ids)
     across = repeats(each, list(ids)).select(*ids)
     return inside.unionByName(across).distinct()

@@ -24,7 +24,7 @@ def whole_up_to(most: int) -> str:
             rest = len(digits) - i - 1
             lower = f"[0-{int(d) - 1}]" if d != "1" else "0"
             parts.append(digits[:i] + lower + (f"[0-9]{{{rest}}}" if rest else ""))
-    return f"0*+(?:{'|'.join([digits, *reversed(parts)])})"
+    return f"(?:0++(?![0-9])|0*+(?:{'|'.join([digits, *reversed(parts)])}))"
 
 
 DECIMAL = r"[+-]?(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]++)?"
@@ -180,7 +180,7 @@ def json_reason(line: str | None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def _json_reasons(lines: pd.Series) -> pd.Series:
-    return lines.map(json_reason, na_action=None)
+    return lines.map(json_reason, na_action="ignore")
 
 
 def instant_column(text: Column) -> Column:
@@ -191,29 +191,30 @@ def instant_column(text: Column) -> Column:
     return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint")).otherwise(at)
 
 
-def with_reason(df: DataFrame, line: str = "line", fmt: str = "format") -> DataFrame:
-    """``df`` with ``_kind`` (csv, jsonl or null) and ``_reason``, null for rows that load.
+def _judged(df: DataFrame, keep: list[str], line: str, fmt: str) -> DataFrame:
+    """_keep (a struct), _line, _kind (csv, jsonl or null) and _reason, null for rows that load.
 
     The reasons in their order: format; quoting, columns (csv); json (jsonl); event_time; x. Null lines fail with
     columns or json. Anchored patterns made from the schema decide whole rows inside code generation. Only JSON lines
-    that the flat pattern does not accept (nested, odd or broken ones) go to Python, where they are read exactly.
+    that the flat pattern does not accept (nested, odd or broken ones) are read in Python, exactly; for all other rows
+    Python gets a null.
     """
     kind = F.lower(F.btrim(F.col(fmt)))
-    text = F.col(line)
-    rows = df.withColumn("_kind", F.when(kind.isin("csv", "jsonl"), kind))
-    sure = text.rlike(EVENT_JSON)
-    rows = rows.withColumn("_hard", F.when((F.col("_kind") == "jsonl") & ~F.coalesce(sure, F.lit(False)), F.coalesce(text, F.lit(""))))
-    easy = rows.filter(F.col("_hard").isNull()).withColumn(
-        "_reason", F.when(F.col("_kind").isNull(), "format").when(F.col("_kind") == "csv", EVENT_CSV.reason(text))
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), F.col(line).alias("_line"), F.when(kind.isin("csv", "jsonl"), kind).alias("_kind")
     )
-    hard = rows.filter(F.col("_hard").isNotNull()).withColumn("_reason", _json_reasons("_hard"))
-    return easy.unionByName(hard).drop("_hard")
+    text = F.col("_line")
+    unsure = (F.col("_kind") == "jsonl") & ~F.coalesce(text.rlike(EVENT_JSON), F.lit(False))
+    rows = rows.withColumn("_hard", F.when(unsure, F.coalesce(text, F.lit(""))))
+    easy = F.when(F.col("_kind").isNull(), "format").when(F.col("_kind") == "csv", EVENT_CSV.reason(text))
+    return rows.withColumn("_reason", F.coalesce(easy, _json_reasons("_hard"))).drop("_hard")
 
 
-def rejected(df: DataFrame, line: str = "line", fmt: str = "format") -> DataFrame:
-    """The rows that fail, with ``reason``."""
-    rows = with_reason(df, line, fmt)
-    return rows.filter(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason").drop("_kind")
+def rejected(df: DataFrame, keep: list[str], line: str = "line", fmt: str = "format") -> DataFrame:
+    """The rows that fail: the columns in ``keep``, the line, and ``reason``. No other columns are read."""
+    if {"reason", line} & set(keep):
+        raise ValueError(f"keep must not name reason or {line}")
+    return _judged(df, keep, line, fmt).filter(F.col("_reason").isNotNull()).select("_keep.*", F.col("_line").alias(line), F.col("_reason").alias("reason"))
 
 
 def loaded(df: DataFrame, keep: list[str], line: str = "line", fmt: str = "format") -> DataFrame:
@@ -221,12 +222,15 @@ def loaded(df: DataFrame, keep: list[str], line: str = "line", fmt: str = "forma
 
     An empty CSV field is null for x and an empty string otherwise; a JSON member that is missing or null is null.
     """
-    rows = with_reason(df, line, fmt).filter(F.col("_reason").isNull())
+    if {"event_ms", "word", "x", "user_id"} & set(keep):
+        raise ValueError("keep must not name event_ms, word, x or user_id")
+    rows = _judged(df, keep, line, fmt).filter(F.col("_reason").isNull())
+    line = "_line"
     text, csv = F.col(line), F.col("_kind") == "csv"
     as_csv = {n: EVENT_CSV.field(text, n) for n in EVENT_CSV.names}
     as_json = {n: F.get_json_object(text, f"$['{n}']") for n in EVENT_CSV.names}
     return rows.select(
-        *keep,
+        "_keep.*",
         instant_column(F.when(csv, as_csv["event_time"]).otherwise(as_json["event_time"])).alias("event_ms"),
         F.when(csv, as_csv["word"]).otherwise(as_json["word"]).alias("word"),
         F.when(csv, F.nullif(as_csv["x"], F.lit(""))).otherwise(as_json["x"]).try_cast("double").alias("x"),

@@ -90,14 +90,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_once(spark: SparkSession, d: str) -> DataFrame:
     """One row per identifier, the first received."""
-    rows = table(spark, d, "kafka_records").withColumnsRenamed({})
+    rows = table(spark, d, "kafka_records")
     order = [F.col("received_at"), F.col("batch_id"), F.col("payload")]
     out = dedup.deduplicate(rows, _ids(), epoch_ms(rows, "received_at"), order, HOUR_MS, ["batch_id", "received_at"])
     return out.select("_topic", "_partition", "_offset", "batch_id", epoch_ms(out, "received_at").alias("received_ms"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.rejected(table(spark, d, "raw_lines")).select("raw_id", "reason")
+    return rejects.rejected(table(spark, d, "raw_lines"), ["raw_id"]).select("raw_id", "reason")
 
 
 def p5_loaded(spark: SparkSession, d: str) -> DataFrame:

@@ -142,6 +142,8 @@ def deduplicate(df: DataFrame, ids: dict[str, Column], at_ms: Column, order: lis
 
     Rows without a whole identifier cannot be told apart and are left out; take them from the input where wanted.
     """
+    if set(ids) & set(keep):
+        raise ValueError("keep must not name a part of the identifier")
     each = copies(df, ids, at_ms, order, bucket_ms, keep)
     again = repeats(each, list(ids))
     first = each.join(again, [*ids, "_bucket"], "left_anti")

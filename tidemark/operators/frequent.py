@@ -93,29 +93,31 @@ def most_frequent(items: DataFrame, item: str, k: int, width: int = 2048, depth:
     """
     if k <= 0:
         raise ValueError("k must be positive")
+    if item in ("n", "n_estimate"):
+        raise ValueError("the item's column must not be called n or n_estimate")
     spark = items.sparkSession
+    kind = items.schema[item].dataType.simpleString()
+    rows = items.select(F.col(f"`{item}`").alias("_item")).filter(F.col("_item").isNotNull())
     while True:
-        sketch = build_sketch(items, item, width, depth)
+        sketch = build_sketch(rows, "_item", width, depth)
         found = sketch.decode()
         guess = sketch.estimate(found) if len(found) else found
         candidates = spark.createDataFrame([(int(h), int(n)) for h, n in zip(found, guess)], "_h bigint, n_estimate bigint")
         counted = (
-            items.filter(F.col(item).isNotNull())
-            .select(F.col(item), item_hash(F.col(item)).alias("_h"))
+            rows.withColumn("_h", item_hash(F.col("_item")))
             .join(F.broadcast(candidates), "_h")  # depth * MOST_WIDTH rows at most
-            .groupBy(item, "_h", "n_estimate")
+            .groupBy("_item", "_h", "n_estimate")
             .agg(F.count("*").alias("n"))
         )
-        best = counted.orderBy(F.desc("n"), item).limit(k)
-        if not sketch.total.any():
-            return best.select(item, "n", "n_estimate")
-        sums = counted.groupBy("_h").agg(F.sum("n").alias("n")).toPandas()
-        rows = best.collect()
-        rest = sketch.most_of_others(sums["_h"].to_numpy(), sums["n"].to_numpy())
-        if rest == 0 or len(rows) == k and rows[-1]["n"] > rest:
-            kind = items.schema[item].dataType.simpleString()
-            return spark.createDataFrame([(r[item], r["n"], r["n_estimate"]) for r in rows], f"`{item}` {kind}, n bigint, n_estimate bigint")
+        if not len(found) and not sketch.total.any():
+            return spark.createDataFrame([], f"`{item}` {kind}, n bigint, n_estimate bigint")
+        # As many rows as candidates, but for values of one hash.
+        got = counted.select("_item", "_h", "n", "n_estimate").collect()
+        best = sorted(got, key=lambda r: (-r["n"], r["_item"].encode("utf-8", "surrogatepass") if isinstance(r["_item"], str) else r["_item"]))[:k]
+        rest = sketch.most_of_others(np.array([r["_h"] for r in got], dtype=np.int64), np.array([r["n"] for r in got], dtype=np.int64))
+        if rest == 0 or len(best) == k and best[-1]["n"] > rest:
+            return spark.createDataFrame([(r["_item"], r["n"], r["n_estimate"]) for r in best], f"`{item}` {kind}, n bigint, n_estimate bigint")
         if width * 4 > MOST_WIDTH:
-            every = items.filter(F.col(item).isNotNull()).groupBy(item).agg(F.count("*").alias("n"))
-            return every.orderBy(F.desc("n"), item).limit(k).withColumn("n_estimate", F.col("n"))
+            every = rows.groupBy("_item").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_item").limit(k)
+            return every.select(F.col("_item").alias(item), "n", F.col("n").alias("n_estimate"))
         width *= 4

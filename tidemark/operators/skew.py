@@ -60,5 +60,5 @@ def heavy_keys(df: DataFrame, key: Column, share: int, name: str = "key") -> Dat
         raise ValueError("share must be positive")
     own = key_states(df, {name: key}).withColumn("_all", F.lit(1))
     whole = df.groupBy().agg(F.count("*").alias("n")).select(F.lit(1).alias("_all"), "n", F.lit(None).cast("double").alias("total"))
-    joined = eager_join_aggregate(own, whole, ["_all"], [name])
+    joined = eager_join_aggregate(own, F.broadcast(whole), ["_all"], [name])  # one row
     return joined.filter(F.col("left_n") * share >= F.col("right_n")).select(name, "left_n", "right_n")

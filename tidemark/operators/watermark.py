@@ -15,19 +15,20 @@ def with_watermark_ms(df: DataFrame, order: Column, at: str = "event_time", late
     """``df`` with watermark_ms, the greatest time up to a row less the lateness, and prior_ms, the same before the row.
 
     ``order`` is the order of arrival, a whole number without ties. Rows with a null time advance nothing; before the
-    first time both are null. The maximum runs within ``block`` consecutive order values and from the greatest of the
+    first time both are null. Columns of these two names are replaced. The maximum runs within ``block`` consecutive order values and from the greatest of the
     blocks before, which are one row each, so no task has to hold all rows.
     """
-    rows = df.withColumn("_ms", epoch_ms(df, at)).withColumn("_order", order.cast("bigint")).withColumn("_block", floor_div(F.col("_order"), block))
+    kept = [c for c in df.columns if c not in ("watermark_ms", "prior_ms")]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), epoch_ms(df, at).alias("_ms"), order.cast("bigint").alias("_order"))
+    rows = rows.withColumn("_block", floor_div(F.col("_order"), block))
     tops = rows.groupBy("_block").agg(F.max("_ms").alias("_top"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = tops.select(F.col("_block").alias("_b"), "_top").withColumn("_carry", F.max("_top").over(before)).drop("_top")
     inside = Window.partitionBy("_block").orderBy("_order")
     rows = rows.withColumn("_now", F.max("_ms").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_prior", F.max("_ms").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    out = rows.join(carried, F.col("_block") == F.col("_b"))
-    out = out.withColumn("watermark_ms", F.greatest("_now", "_carry") - lateness_ms).withColumn("prior_ms", F.greatest("_prior", "_carry") - lateness_ms)
-    return out.drop("_ms", "_order", "_block", "_b", "_carry", "_now", "_prior")
+    out = rows.join(carried, F.col("_block").eqNullSafe(F.col("_b")))
+    return out.select("_row.*", (F.greatest("_now", "_carry") - lateness_ms).alias("watermark_ms"), (F.greatest("_prior", "_carry") - lateness_ms).alias("prior_ms"))
 
 
 def on_time(df: DataFrame, order: Column, at: str = "event_time", lateness_ms: int = 0) -> DataFrame:

@@ -1,10 +1,9 @@
 import json
+import os
 import time
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
-
 from tidemark.operators.running import MINUTE_MS
 from tidemark.operators.windows import Session, Sliding, Tumbling, windowed_aggregate
 from tidemark.sinks.files import ParquetSink
@@ -30,7 +29,11 @@ class Feed:
             t = datetime(1970, 1, 1) + timedelta(milliseconds=ms)
             lines.append(json.dumps({"event_time": t.isoformat(timespec="milliseconds"), "word": word, "x": x, "n": self.n}))
             self.n += 1
-        (self.path / f"{self.n:06d}.json").write_text("\n".join(lines))
+        path = self.path / f"{self.n:06d}.json"
+        # Named so that no reader sees it before it has its time, which sets the order of the batches.
+        (hidden := self.path / "_new").write_text("\n".join(lines))
+        os.utime(hidden, (1_700_000_000 + self.n, 1_700_000_000 + self.n))
+        hidden.rename(path)
 
 
 @pytest.fixture
@@ -104,7 +107,7 @@ def test_records_behind_the_watermark_are_dropped_one_by_one(spark, tmp_path, ru
 def test_sessions_by_arrival(spark, tmp_path, run):
     feed = Feed(spark, tmp_path / "in")
     query = run(arrival_sessions(feed.df, 30_000, "word", lateness_ms=60_000, order="n"), "arrival")
-    feed.add((50_000, "k", 0.0), (0, "k", 0.0), (25_000, "k", 0.0))
+    feed.add((50_000, "k", 0.0), (1, "k", 0.0), (25_000, "k", 0.0))
     feed.add((900_000, "z", 0.0))
     feed.add((900_000, "z", 0.0))
     query.processAllAvailable()
@@ -149,4 +152,3 @@ def test_lines_to_parquet_with_metrics(spark, tmp_path):
         assert "tidemark_operator_rows_total{" in metrics.render()
     finally:
         spark.streams.removeListener(listener)
-    assert F.lit(1) is not None

@@ -112,25 +112,29 @@ def payload_json(df: DataFrame, columns: list[str]) -> Column:
     return F.to_json(F.struct(*shown), {"ignoreNullFields": "false"})
 
 
-_DIRECTIVES = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "j": "DDD", "%": "%"}
+_DIRECTIVES = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "j": "DDD", "F": "yyyy-MM-dd", "T": "HH:mm:ss"}
 
 
 def date_pattern(fmt: str) -> str:
     """A strftime format as a pattern for ``date_format``; unknown directives are refused."""
-    out, i = "", 0
+    out = literal = ""
+
+    def flushed() -> str:
+        return "'" + literal.replace("'", "''") + "'" if literal else ""
+
+    i = 0
     while i < len(fmt):
         c = fmt[i]
-        if c == "%":
+        if c != "%":
+            literal += c
             i += 1
-            if fmt[i : i + 1] == "F":
-                out += "yyyy-MM-dd"
-            elif fmt[i : i + 1] == "T":
-                out += "HH:mm:ss"
-            elif fmt[i : i + 1] in _DIRECTIVES and fmt[i : i + 1]:
-                out += _DIRECTIVES[fmt[i]]
-            else:
-                raise ValueError(f"unknown directive in {fmt!r}")
+            continue
+        directive = fmt[i + 1 : i + 2]
+        if directive == "%":
+            literal += "%"
+        elif directive in _DIRECTIVES and directive:
+            out, literal = out + flushed() + _DIRECTIVES[directive], ""
         else:
-            out += "''" if c == "'" else f"'{c}'" if c.isalpha() else c
-        i += 1
-    return out
+            raise ValueError(f"unknown directive in {fmt!r}")
+        i += 2
+    return out + flushed()

@@ -43,5 +43,5 @@ def decode_messages(messages: DataFrame, time_field: str) -> DataFrame:
     rest = F.btrim(F.regexp_replace(F.to_json(members), r"(?s)^\{|\}$", ""))
     replaced = F.concat(F.lit("{"), F.when(rest != "", F.concat(rest, F.lit(","))).otherwise(""), position)
     has = F.coalesce(*[member_json(F.col("_p"), n) for n in names]).isNotNull()
-    payload = F.when(~F.ltrim("_p").startswith("{"), F.col("_p")).when(has, replaced).otherwise(added)
+    payload = F.when(~F.coalesce(F.ltrim("_p").startswith("{"), F.lit(False)), F.col("_p")).when(has, replaced).otherwise(added)
     return body.select(json_event_time(F.col("_p"), time_field).alias("event_time"), payload.alias("payload"), "_topic", "_partition", "_offset")

@@ -53,17 +53,17 @@ class _Windows(StatefulProcessor):
         behind = timerValues.getCurrentWatermarkInMs()
         for part in rows:
             for ms, value in part.sort_values("arrival")[["ms", "value"]].itertuples(index=False):
-                if ms < behind:
+                if ms <= behind:
                     continue
                 for start in starts_of(int(ms), self.window):
                     held = self.open.getValue((start,)) if self.open.containsKey((start,)) else (self.start,)
                     if held == (self.start,) and not self.open.containsKey((start,)):
-                        self.handle.registerTimer(start + self.window.size_ms)
+                        self.handle.registerTimer(start + self.window.size_ms - 1)
                     self.open.updateValue((start,), (self.step(held[0], value),))
         yield pd.DataFrame(columns=["window_start_ms", "window_end_ms", "key", "state"])
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        start = expiredTimerInfo.getExpiryTimeInMs() - self.window.size_ms
+        start = expiredTimerInfo.getExpiryTimeInMs() + 1 - self.window.size_ms
         if self.open.containsKey((start,)):
             state = self.open.getValue((start,))[0]
             self.open.removeKey((start,))
@@ -90,7 +90,7 @@ class _ArrivalSessions(StatefulProcessor):
         for part in rows:
             for ms in part.sort_values("arrival")["ms"]:
                 ms = int(ms)
-                if ms < behind:
+                if ms <= behind:
                     continue
                 if held is not None and ms - held[1] <= self.gap:
                     held = (held[0], ms, held[2] + 1)
@@ -100,13 +100,13 @@ class _ArrivalSessions(StatefulProcessor):
                     held = (ms, ms, 1)
         if held is not None:
             self.now.update(held)
-            self.handle.registerTimer(held[1] + self.gap)
+            self.handle.registerTimer(held[1] + self.gap - 1)
         yield pd.DataFrame(out, columns=["window_start_ms", "window_end_ms", "key", "count"])
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         if self.now.exists():
             start, last, n = self.now.get()
-            if last + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
+            if last + self.gap - 1 <= expiredTimerInfo.getExpiryTimeInMs():
                 self.now.clear()
                 yield pd.DataFrame({"window_start_ms": [start], "window_end_ms": [last + self.gap], "key": [key[0]], "count": [n]})
 
@@ -142,7 +142,9 @@ def _input(df: DataFrame, key: str, at: str, lateness_ms: int, value: str | None
         F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")).alias("key"), epoch_ms(df, at).alias("ms"),
         (F.col(value) if value else F.lit(1)).alias("value"), (F.col(order) if order else epoch_ms(df, at)).alias("arrival"),
     ).filter("ms IS NOT NULL")
-    return rows.withColumn("_at", F.timestamp_millis("ms")).withWatermark("_at", f"{lateness_ms} milliseconds")
+    # Spark itself drops rows of stateful steps at the watermark or before it. One ms more makes that: before it; the
+    # timers are one ms early for the same reason.
+    return rows.withColumn("_at", F.timestamp_millis("ms")).withWatermark("_at", f"{lateness_ms + 1} milliseconds")
 
 
 def strict_windows(df: DataFrame, window: Tumbling | Sliding, key: str, init: Any, step: Callable[[Any, Any], Any], kind: str, value: str | None = None, at: str = "event_time", lateness_ms: int = 0, order: str | None = None) -> DataFrame:

@@ -48,7 +48,7 @@ class PieceEncoder:
     @classmethod
     def from_bytes(cls, data: bytes) -> PieceEncoder:
         """From the lines of a rank file: a token in base64 and its rank."""
-        return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a})
+        return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())})
 
     def one(self, piece: bytes) -> list[int]:
         """The ids of one piece, of any length."""

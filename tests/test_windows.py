@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -6,8 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import fold, running, transforms, watermark
+from tidemark.operators.arrival import arrival_sessions
 from tidemark.operators.windows import Session, Sliding, Tumbling, windowed_aggregate
-from tidemark.streaming.processors import arrival_sessions_batch, starts_of
+from tidemark.streaming.processors import starts_of
 
 EPOCH = datetime(1970, 1, 1)
 
@@ -145,10 +147,29 @@ def test_fold(spark, rows):
 
 def test_sessions_by_arrival(spark, rows):
     df = events(spark, [(50_000, "k", 0.0, ""), (0, "k", 0.0, ""), (25_000, "k", 0.0, "")])
-    assert rows(arrival_sessions_batch(df, 30_000, "word", "n")) == [(50_000, 55_000, "k", 3)]
+    assert rows(arrival_sessions(df, 30_000, "word", F.col("n"))) == [(50_000, 55_000, "k", 3)]
     assert rows(windowed_aggregate(df, Session(30_000), "word")) == [(0, 80_000, "k", 3)]
 
 
+@pytest.mark.parametrize("block", [1, 2, 5, 1000])
+def test_sessions_by_arrival_equal_the_model(spark, rows, block):
+    rng = random.Random(block)
+    data = [(rng.choice([None, rng.randrange(0, 2_000)]), rng.choice(["a", "b", None]), 0.0, "") for _ in range(120)]
+    data += [(i * 10, "a", 0.0, "") for i in range(30)]
+    held, want = {}, []
+    for ms, key, *_ in data:
+        if ms is None:
+            continue
+        key = "null" if key is None else key
+        if key in held and ms - held[key][1] <= 300:
+            held[key] = (held[key][0], ms, held[key][2] + 1)
+        else:
+            want += [(held[key][0], held[key][1] + 300, key, held[key][2])] if key in held else []
+            held[key] = (ms, ms, 1)
+    want += [(a, b + 300, k, n) for k, (a, b, n) in held.items()]
+    assert rows(arrival_sessions(events(spark, data), 300, "word", F.col("n"), block=block)) == sorted(want, key=repr)
+
+
 def test_transforms(spark, rows):
     df = events(spark, SIMPLE)
     assert rows(transforms.key_by(df, "word"), "key") == [("a",), ("a",), ("b",)]

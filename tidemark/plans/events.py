@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import epoch_ms
 from tidemark.functions.payload import decode_bytes, json_event_time, member_text, text_number
-from tidemark.operators import fold, running, transforms, watermark
+from tidemark.operators import arrival, fold, running, transforms, watermark
 from tidemark.operators.windows import Session, Sliding, Tumbling, bucket_start, windowed_aggregate
 from tidemark.plans.pipeline import Pipeline
 from tidemark.session import table
 from tidemark.sinks.files import ByDate, ByField, ParquetSink
 from tidemark.sources.kafka import decode_messages
-from tidemark.streaming.processors import arrival_sessions_batch
 
 HOUR, MINUTE = 3_600_000, 60_000
 WINDOWS = {"tumbling": Tumbling(HOUR), "sliding": Sliding(HOUR, HOUR // 4), "session": Session(10 * MINUTE)}
@@ -154,7 +153,14 @@ def payload_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 def arrival_sessions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").withColumn("event_time", F.col("ts"))
-    return arrival_sessions_batch(rows, 10 * MINUTE, "event_type", "event_id")
+    return arrival.arrival_sessions(rows, 10 * MINUTE, "event_type", F.col("event_id"), block=1000)
+
+
+def arrival_sessions_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    """The same with rows that arrive out of order."""
+    rows = table(spark, d, "events").withColumn("event_time", F.col("ts"))
+    order = F.col("event_id") - F.col("event_id") % 8 + (7 - F.col("event_id") % 8)
+    return arrival.arrival_sessions(rows, 10 * MINUTE, "event_type", order, block=1000)
 
 
 def lineitem_monthly(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +179,7 @@ QUERIES = {f"{kind}_{agg}": _windowed(kind, agg) for kind in WINDOWS for agg in
     sliding_nondivisible, sliding_slide_gt_size, running_count, map_explode_words, filter_pred, key_by, wordcount_pipeline,
     sliding_avg_pipeline, json_field_agg, null_as_zero_avg, distinct_with_null, watermark_running, late_drop_record,
     end_of_input, fold_sum, fold_merge_sliding, parquet_sink_layout, parquet_field_layout, kafka_payload_time, kafka_decode,
-    payload_bytes, arrival_sessions, lineitem_monthly, orders_sliding,
+    payload_bytes, arrival_sessions, arrival_sessions_shuffled, lineitem_monthly, orders_sliding,
 )}
 
 _MS = "(epoch_us({0}) // 1000)"
@@ -215,6 +221,15 @@ _JSON_TIME = """CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT'
          THEN epoch_us(TRY_CAST(json_extract_string(payload, '$.event_time') AS TIMESTAMPTZ)) // 1000 END END"""
 _SPACE = "[ \\t\\n\\r\\f\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 
+
+
+def _arrival(order: str) -> str:
+    return f"""WITH r AS (SELECT event_type AS key, {order} AS o, {_MS.format('ts')} AS ms FROM events),
+        f AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= {10 * MINUTE} THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY key ORDER BY o)),
+        s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY o ROWS UNBOUNDED PRECEDING) AS no FROM f)
+        SELECT arg_min(ms, o) AS window_start_ms, arg_max(ms, o) + {10 * MINUTE} AS window_end_ms, key, count(*) AS count FROM s GROUP BY key, no"""
+
+
 ORACLES = {f"{kind}_{agg}": _windowed_sql(kind, agg) for kind in WINDOWS for agg in FIELDS} | {
     "sliding_nondivisible": _sliding(HOUR, 25 * MINUTE, "event_type", "count(*) AS count"),
     "sliding_slide_gt_size": _sliding(HOUR, 2 * HOUR, "event_type", "count(*) AS count"),
@@ -241,10 +256,8 @@ ORACLES = {f"{kind}_{agg}": _windowed_sql(kind, agg) for kind in WINDOWS for agg
     "kafka_payload_time": f"""SELECT batch_id, count(*) AS n, CAST(sum(CASE WHEN coalesce({_JSON_TIME}, 0) <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS timed, max(coalesce({_JSON_TIME}, 0)) AS last_ms
         FROM kafka_records GROUP BY batch_id""",
     "payload_bytes": "SELECT raw_id, NOT json_valid(line) OR regexp_matches(line, ',[ ]*[}\\]]') AS wrapped FROM raw_lines",
-    "arrival_sessions": f"""WITH r AS (SELECT event_type AS key, event_id, {_MS.format('ts')} AS ms FROM events),
-        f AS (SELECT *, CASE WHEN ms - lag(ms) OVER w <= {10 * MINUTE} THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY key ORDER BY event_id)),
-        s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS no FROM f)
-        SELECT arg_min(ms, event_id) AS window_start_ms, arg_max(ms, event_id) + {10 * MINUTE} AS window_end_ms, key, count(*) AS count FROM s GROUP BY key, no""",
+    "arrival_sessions": _arrival("event_id"),
+    "arrival_sessions_shuffled": _arrival("(event_id - event_id % 8 + (7 - event_id % 8))"),
     "lineitem_monthly": _tumbling(30 * 24 * HOUR, "l_returnflag", "round(sum(l_quantity), 6) AS sum", "lineitem", "l_shipdate"),
     "orders_sliding": _sliding(30 * 24 * HOUR, 24 * HOUR, "o_orderpriority", "count(*) AS count", "orders", "o_orderdate"),
 }

@@ -175,22 +175,3 @@ def running_counts(df: DataFrame, key: str, at: str = "event_time", size_ms: int
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_RunningCount(size_ms), outputStructType="window_start_ms bigint, key string, count bigint", outputMode="Append", timeMode="None"
     )
-
-
-def arrival_sessions_batch(df: DataFrame, gap_ms: int, key: str, order: str, at: str = "event_time") -> DataFrame:
-    """The same over a batch frame; a key's rows meet in one task, as their order of arrival decides the result."""
-    rows = df.select(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")).alias("key"), epoch_ms(df, at).alias("ms"), F.col(order).alias("arrival")).filter("ms IS NOT NULL")
-
-    def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], None
-        for ms in part.sort_values("arrival")["ms"]:
-            ms = int(ms)
-            if held and ms - held[1] <= gap_ms:
-                held = (held[0], ms, held[2] + 1)
-            else:
-                out += [held] if held else []
-                held = (ms, ms, 1)
-        out += [held] if held else []
-        return pd.DataFrame([(s, e + gap_ms, key[0], n) for s, e, n in out], columns=["window_start_ms", "window_end_ms", "key", "count"])
-
-    return rows.groupBy("key").applyInPandas(work, "window_start_ms bigint, window_end_ms bigint, key string, count bigint")

@@ -128,7 +128,7 @@ def repeats(each: DataFrame, ids: list[str], width: int | None = None) -> DataFr
     stored = each.select(*ids, "_bucket", "_hash")
     screened = (
         stored.select(F.pmod("_hash", F.lit(shards)).cast("int").alias("_shard"), "_bucket", "_hash")
-        .repartition(shards, "_shard")
+        .repartitionById(shards, F.col("_shard"))
         .sortWithinPartitions("_shard", "_bucket")
         .mapInPandas(_screen, "_hash bigint, _bucket bigint, _earlier bigint")
     )

@@ -190,6 +190,24 @@ def test_fluent_pipeline(spark):
         Pipeline(spark).source(df).run()
 
 
+def test_rows_are_counted_as_they_pass(spark):
+    df = spark.range(7).select(F.timestamp_millis("id").alias("event_time"), "id")
+    m = Metrics()
+    Pipeline(spark).source(df).measure(m, "in").filter(F.col("id") > 2).measure(m, "out").sink(lambda out: out.collect()).run()
+    assert 'rows_total{operator="in"} 7' in m.render() and 'rows_total{operator="out"} 4' in m.render()
+
+
+def test_examples(spark, tmp_path):
+    import runpy
+
+    p = tmp_path / "in.jsonl"
+    p.write_text('{"event_time":0,"text":"A b a","device":"d","value":2}\n{"event_time":70000,"text":"a","device":"d","value":"4"}\n')
+    counts = runpy.run_path("examples/wordcount.py")["counts"](spark, str(p)).collect()
+    assert sorted((r.window_start_ms, r.key, r["count"]) for r in counts) == [(0, "a", 1), (0, "a", 2), (0, "b", 1), (60000, "a", 1)]
+    averages = runpy.run_path("examples/sliding_avg.py")["averages"](spark, str(p)).collect()
+    assert {r.window_start_ms: r.avg for r in averages}[0] == 3.0 and len(averages) == 6
+
+
 def test_metrics_over_http():
     m = Metrics()
     m.add("tidemark_operator_rows_total", 3, operator="map")

@@ -26,7 +26,7 @@ def run(path: str, http_port: int | None, emit_time: str, checkpoint: str | None
     spark.streams.addListener(ProgressListener(metrics))
     spark.sparkContext.setJobDescription(f"pipeline {path}")
     began = time.monotonic()
-    query = build(spark, cfg, emit_time, checkpoint).run()
+    query = build(spark, cfg, emit_time, checkpoint).measure(metrics, "window").run()
     if query is not None:
         query.awaitTermination()
     metrics.observe("tidemark_sink_latency_ms", (time.monotonic() - began) * 1000, sink=cfg.sink.kind)

@@ -28,6 +28,10 @@ class Tumbling:
     def __post_init__(self) -> None:
         _positive(size_ms=self.size_ms)
 
+    @classmethod
+    def minutes(cls, n: int) -> Tumbling:
+        return cls(n * 60_000)
+
 
 @dataclass(frozen=True)
 class Sliding:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.durations import parse_duration_ms
@@ -17,6 +18,7 @@ from tidemark.sinks.files import ByDate, ByField, ParquetSink, write_json_lines
 from tidemark.sinks.kafka import write_kafka
 from tidemark.sources.files import csv_columns, read_csv, read_jsonl
 from tidemark.sources.kafka import read_kafka
+from tidemark.streaming.metrics import Metrics
 
 
 class Pipeline:
@@ -26,6 +28,7 @@ class Pipeline:
         self.spark = spark
         self._df: DataFrame | None = None
         self._sink: Callable[[DataFrame], object] | None = None
+        self._seen: list[tuple[Observation, Metrics, str]] = []
 
     def source(self, df: DataFrame) -> Pipeline:
         self._df = df
@@ -48,6 +51,14 @@ class Pipeline:
     def window(self, window: Window, key: str = "key", agg: str = "count", field: str | None = None, lateness_ms: int = 0) -> Pipeline:
         return self.apply(windowed_aggregate, window, key, agg, field, lateness_ms=lateness_ms)
 
+    def measure(self, metrics: Metrics, operator: str) -> Pipeline:
+        """Counts the rows that pass here while the plan runs (batch frames), without another job."""
+        if not self.frame.isStreaming:
+            seen = Observation(f"{operator}-{len(self._seen)}")
+            self._df = self.frame.observe(seen, F.count(F.lit(1)).alias("rows"))
+            self._seen.append((seen, metrics, operator))
+        return self
+
     def sink(self, write: Callable[[DataFrame], object]) -> Pipeline:
         self._sink = write
         return self
@@ -63,7 +74,13 @@ class Pipeline:
         frame = self.frame
         if self._sink is None:
             raise ValueError("the pipeline has no sink")
-        return self._sink(frame)
+        out = self._sink(frame)
+        for seen, metrics, operator in self._seen:
+            # A sink that hands rows out one by one reports no figures; nothing waits for them then.
+            reader = threading.Thread(target=lambda s=seen, m=metrics, o=operator: m.add("tidemark_operator_rows_total", s.get["rows"], operator=o), daemon=True)
+            reader.start()
+            reader.join(5)
+        return out
 
 
 def _read(spark: SparkSession, cfg: PipelineConfig) -> DataFrame:

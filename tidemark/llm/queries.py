@@ -15,10 +15,9 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many texts and ids each language has."""
-    docs = table(spark, d, "documents")
-    ids = tokenize.encode(docs, "doc_id").select("doc_id", F.size("ids").alias("n"))
-    named = docs.select("doc_id", F.lower(F.btrim("lang")).alias("lang"))
-    return ids.join(named, "doc_id").groupBy("lang").agg(F.count("*").alias("texts"), F.sum("n").alias("n_ids"))
+    docs = table(spark, d, "documents").select(F.struct("doc_id", F.lower(F.btrim("lang")).alias("lang")).alias("doc"), "text")
+    ids = tokenize.encode(docs, "doc")
+    return ids.groupBy(F.col("doc.lang").alias("lang")).agg(F.count("*").alias("texts"), F.sum(F.size("ids")).alias("n_ids"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

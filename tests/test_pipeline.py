@@ -158,6 +158,18 @@ def test_parquet_sink_reads_back(spark, tmp_path):
     assert [r.dt for r in shown] == [""]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_dates_of_partitions_are_utc(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(1700000000000,)], "ms long").select(F.timestamp_millis("ms").alias("event_time"), "ms")
+        plain = spark.sql("select timestamp_ntz'2023-11-14 22:13:20' as event_time, 1 as ms")
+        assert [ParquetSink("", ByDate(fmt="%Y-%m-%dT%H:%M")).layout(d).first().dt for d in (df, plain)] == ["2023-11-14T22:13"] * 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_json_lines_drop_the_event_time(spark, tmp_path):
     df = spark.createDataFrame([(None, 2)], "b string, a int").withColumn("event_time", F.current_timestamp())
     write_json_lines(df, str(tmp_path / "l"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.payload import date_pattern, member_json, member_text, payload_json
 
@@ -45,12 +46,16 @@ class ByField:
     field: str
 
 
-def partition_value(spec: ByDate | ByField, payload: Column) -> Column:
-    """The value of the ``dt`` partition, empty without one."""
+def partition_value(spec: ByDate | ByField, payload: Column, zoned: bool) -> Column:
+    """The value of the ``dt`` partition, empty without one; dates are UTC dates, whatever the session's zone.
+
+    ``zoned`` says that event_time is an instant, not a time without a zone, which already means UTC.
+    """
     if isinstance(spec, ByField):
         return F.coalesce(member_text(payload, spec.field), F.lit(""))
     if spec.field == "event_time":
-        return F.date_format("event_time", date_pattern(spec.fmt))
+        at = F.convert_timezone(None, F.lit("UTC"), F.col("event_time")) if zoned else F.col("event_time")
+        return F.date_format(at, date_pattern(spec.fmt))
     return F.when(member_json(payload, spec.field).startswith('"'), member_text(payload, spec.field)).otherwise("")
 
 
@@ -73,7 +78,8 @@ class ParquetSink:
     def layout(self, df: DataFrame) -> DataFrame:
         """event_time, payload, dt."""
         rows = as_payload(df)
-        return rows.select("event_time", "payload", partition_value(self.partition, F.col("payload")).alias("dt"))
+        zoned = isinstance(rows.schema["event_time"].dataType, T.TimestampType)
+        return rows.select("event_time", "payload", partition_value(self.partition, F.col("payload"), zoned).alias("dt"))
 
     def rows_a_file(self, bytes_a_row: float | None = None) -> int:
         """The row limit of a file, by rows and by the estimate of bytes."""

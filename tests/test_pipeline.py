@@ -129,6 +129,8 @@ def test_jsonl_source(spark, tmp_path):
     p.write_text('{"event_time":1704067200000,"text":"x"}\n{"event_time":"2024-01-01T00:00:00Z","text":"y"}\n')
     df = read_jsonl(spark, str(p), "event_time")
     assert [r[0] for r in df.select(F.unix_millis("event_time")).collect()] == [1704067200000] * 2
+    p.write_text('{"event_time":1,"event_time":2}\n')
+    assert read_jsonl(spark, str(p), "event_time").select(F.unix_millis("event_time")).first()[0] == 2
     for bad in ("", "{]", '{"a":1}}'):
         p.write_text(f'{{"event_time":1}}\n{bad}\n{{"event_time":2}}\n')
         with pytest.raises(Exception, match="not a JSON line"):
@@ -140,6 +142,8 @@ def test_csv_source(spark, tmp_path):
     p.write_text('event_time,text\n5,"two\nlines, ""quoted"""\nx,\n')
     got = read_csv(spark, str(p), "event_time").select(F.unix_millis("event_time"), "text").collect()
     assert sorted(tuple(r) for r in got) == [(0, ""), (5, 'two\nlines, "quoted"')]
+    p.write_text("event_time,text\n5,a\n6,b\n")
+    assert read_csv(spark, str(p), "event_time", multi_line=False).count() == 2
     p.write_text("event_time,text\n5,a\n6,a,b\n")
     with pytest.raises(Exception):
         read_csv(spark, str(p), "event_time").collect()

@@ -105,6 +105,15 @@ def test_extra_columns_may_clash_and_tables_may_be_empty(spark, rows):
         assert windowed_aggregate(df.limit(0), window, "word", "distinct", "x").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["double", "boolean", "struct<a: int>", "bigint"])
+def test_keys_of_any_kind(spark, rows, kind):
+    values = {"double": "double('nan')", "boolean": "true", "struct<a: int>": "named_struct('a', 1)", "bigint": "7L"}
+    df = spark.sql(f"select timestamp_ntz'2024-01-01 00:00:00' as event_time, {values[kind]} as k, 1.5 as x union all select timestamp_ntz'2024-01-01 00:00:01', cast(null as {kind}), 2.5")
+    for window in (Tumbling(60_000), Sliding(60_000, 60_000), Session(500)):
+        got = windowed_aggregate(df, window, "k", "sum", "x").collect()
+        assert sorted(r["sum"] for r in got) == [1.5, 2.5] and sorted(r.key is None for r in got) == [False, True]
+
+
 def test_panes_count_each_row_once(spark):
     plan = windowed_aggregate(events(spark, SIMPLE), Sliding(60_000, 15_000), "word")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Aggregate [_k") if "Aggregate [_k" in plan else plan.count("Aggregate") == 2

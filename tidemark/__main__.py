@@ -9,7 +9,7 @@ import time
 
 from tidemark.plans.config import ConfigError, PipelineConfig
 from tidemark.plans.pipeline import build
-from tidemark.session import build_session
+from tidemark.session import build_session, ship_package
 from tidemark.streaming.metrics import Metrics, ProgressListener, serve
 
 log = logging.getLogger("tidemark")
@@ -23,6 +23,7 @@ def run(path: str, http_port: int | None, emit_time: str, checkpoint: str | None
     metrics = Metrics()
     server = serve(metrics, http_port) if http_port is not None else None
     spark = build_session(master)
+    ship_package(spark)
     spark.streams.addListener(ProgressListener(metrics))
     spark.sparkContext.setJobDescription(f"pipeline {path}")
     began = time.monotonic()

@@ -98,8 +98,8 @@ def _screen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def copies(df: DataFrame, ids: dict[str, Column], at_ms: Column, order: list[Column], bucket_ms: int, keep: list[str] = ()) -> DataFrame:
     """One row per identifier and time bucket: the identifier, _bucket, _hash, n, and ``_first``, the earliest copy.
 
-    ``_first``, if any order or kept columns are given, is a struct of the order columns and the columns in ``keep``. Rows of which a part of the identifier is
-    null are left out; a null time counts as bucket 0.
+    ``_first``, if any order or kept columns are given, is a struct of the order columns and the columns in ``keep``.
+    Rows of which a part of the identifier is null are left out; a null time counts as bucket 0.
     """
     row = [c.alias(f"_o{i}") for i, c in enumerate(order)] + [df[c].alias(c) for c in keep]
     rows = df.select(
@@ -138,7 +138,7 @@ def repeats(each: DataFrame, ids: list[str], width: int | None = None) -> DataFr
 
 
 def deduplicate(df: DataFrame, ids: dict[str, Column], at_ms: Column, order: list[Column], bucket_ms: int, keep: list[str]) -> DataFrame:
-    """Exactly one row, the earliest by time bucket and then ``order``, of every identifier: ids, ``keep``, n_in_bucket.
+    """Exactly one row, the earliest by time bucket and then ``order``, of every identifier: ids and ``keep``.
 
     Rows without a whole identifier cannot be told apart and are left out; take them from the input where wanted.
     """

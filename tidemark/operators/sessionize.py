@@ -35,9 +35,9 @@ def sessionize(df: DataFrame, keys: dict[str, Column], at_ms: Column, gap_ms: in
         raise ValueError("gap_ms must not be negative and bucket_ms must be positive")
     names = [f"_key{i}" for i in range(len(keys))]
     summed = [] if value is None else [F.sum("_v").alias("_v")]
-    rows = df.select(
-        *[c.alias(n) for n, c in zip(names, keys.values())], at_ms.alias("_ms"), *([] if value is None else [value.alias("_v")])
-    ).dropna(subset=[*names, "_ms"])
+    rows = df.select(*[c.alias(n) for n, c in zip(names, keys.values())], at_ms.alias("_ms"), *([] if value is None else [value.alias("_v")]))
+    for name in (*names, "_ms"):
+        rows = rows.filter(F.col(name).isNotNull())
     counted = rows.groupBy(*names, "_ms").agg(F.count("*").alias("_n"), *summed)
     bucketed = counted.withColumn("_bucket", floor_div(F.col("_ms"), bucket_ms))
     within = [*names, "_bucket"]

@@ -17,7 +17,9 @@ def key_states(df: DataFrame, keys: dict[str, Column], value: Column | None = No
         *[c.alias(n) for n, c in zip(names, keys.values())],
         (F.lit(None) if value is None else value).cast("double").alias("_value"),
         (F.lit(None) if at_ms is None else at_ms).cast("bigint").alias("_ms"),
-    ).dropna(subset=names)
+    )
+    for name in names:
+        rows = rows.filter(F.col(name).isNotNull())
     states = rows.groupBy(*names).agg(
         F.count("*").alias("n"),
         F.count("_value").alias("n_value"),

@@ -114,21 +114,19 @@ def _batch(rows: DataFrame, window: Window, agg: str) -> DataFrame:
 
 
 def _batch_sessions(rows: DataFrame, window: Session, agg: str) -> DataFrame:
-    # A null key is a key here; a flag beside the key keeps its rows.
-    keys = {"_null": F.col("_k").isNull().cast("int"), "_key": F.coalesce(F.col("_k").cast("string"), F.lit(""))}
     if agg == "distinct":
         found = rows.withColumn("_at", F.timestamp_millis("_ms")).groupBy(F.session_window("_at", f"{window.gap_ms} milliseconds").alias("_w"), "_k")
         out = found.agg(F.count_distinct("_v").alias("distinct_count"))
         return out.select(
             F.unix_millis("_w.start").alias("window_start_ms"), F.unix_millis("_w.end").alias("window_end_ms"), F.col("_k").alias("key"), "distinct_count"
         )
-    kind = rows.schema["_k"].dataType
-    found = sessionize(rows, keys, F.col("_ms"), window.gap_ms, value=None if agg == "count" else F.col("_v"))
+    # A null key is a key here: inside a struct it is not left out.
+    found = sessionize(rows, {"_key": F.struct("_k")}, F.col("_ms"), window.gap_ms, value=None if agg == "count" else F.col("_v"))
     shown = F.col("n_rows") if agg == "count" else finite(F.col("total") / (F.col("n_rows") if agg == "avg" else 1))
     return found.select(
         F.col("first_ms").alias("window_start_ms"),
         (F.col("last_ms") + window.gap_ms).alias("window_end_ms"),
-        F.when(F.col("_null") == 0, F.col("_key")).cast(kind).alias("key"),
+        F.col("_key._k").alias("key"),
         shown.alias(OUTPUT[agg]),
     )
 

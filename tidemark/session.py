@@ -1,4 +1,4 @@
-"""Session settings and the folder that all executors share."""
+"""Session settings, and reading the tables of a data folder."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[*]", app: str = "tidemark", **conf: object) -> SparkSession:
-    """A session with adaptive execution, UTC and Arrow, for tests, the command line and the bench."""
+    """A session with adaptive execution, UTC and Arrow, for tests, the command line and the bench.
+
+    Of members of one name in a JSON object, the last counts; without that setting such objects are no JSON to Spark.
+    """
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -17,6 +20,7 @@ def build_session(master: str = "local[*]", app: str = "tidemark", **conf: objec
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -25,22 +29,16 @@ def build_session(master: str = "local[*]", app: str = "tidemark", **conf: objec
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only a session on one machine without one gets a temporary folder."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="tidemark-")
-    sc.setCheckpointDir(path)
-    return path
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to executors that do not have it, as a zip made on the driver; needless on one machine."""
+    import shutil
+    from pathlib import Path
+
+    if spark.sparkContext.master.startswith("local"):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp()) / "tidemark"), "zip", root, "tidemark")
+    spark.sparkContext.addPyFile(archive)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -25,16 +25,17 @@ def csv_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
 
 
-def read_csv(spark: SparkSession, path: str, time_field: str, stream: bool = False, columns: list[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, time_field: str, stream: bool = False, columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """event_time and all columns, as strings, of CSV files with a header; a row of another length ends the run.
 
     Empty fields are empty strings. A time that is no whole number of epoch ms, or a missing column, is the epoch.
-    A column that is itself called event_time becomes the event time.
+    A column that is itself called event_time becomes the event time. Where no quoted field holds a line end,
+    ``multi_line=False`` lets Spark split large files; otherwise each file is one task's.
     """
     names = columns or csv_columns(spark, path)
     schema = ", ".join(f"`{n}` string" for n in names)
     reader = spark.readStream if stream else spark.read
-    options = {"header": True, "mode": "FAILFAST", "multiLine": True, "escape": '"', "nullValue": "\u0001", "enforceSchema": False}
+    options = {"header": True, "mode": "FAILFAST", "multiLine": multi_line, "escape": '"', "nullValue": "\u0001", "enforceSchema": False}
     rows = reader.options(**options).schema(schema).csv(path)
     text = [F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names]
     at = csv_event_time(F.col(f"`{time_field}`")) if time_field in names else F.timestamp_millis(F.lit(0))

@@ -50,8 +50,7 @@ def running_count(spark: SparkSession, d: str) -> DataFrame:
 
 def map_explode_words(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("event_time", F.col("committed_at"))
-    found = transforms.split_words(docs.filter(F.col("text").isNotNull()), "text")
-    return found.filter(F.col("word").rlike("^[ -~]+$")).groupBy("word").agg(F.count("*").alias("n"))
+    return transforms.split_words(docs, "text").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def filter_pred(spark: SparkSession, d: str) -> DataFrame:

@@ -121,3 +121,32 @@ def test_reworded_passages(spark):
     right = {(n, n) for n in range(20)}
     assert len(right & set(got)) >= 18 and len(set(got) - right) <= 1
     assert all(0.6 <= v <= 1 for v in got.values())
+
+
+def reworded(spark, docs, items):
+    """Pairs and shares, with all documents in one task in the order given."""
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.shared for r in L.find_reworded(a.coalesce(1), b).collect()}
+
+
+def test_windows_are_those_of_each_text():
+    lengths = np.array([0, 5, 24, 25, 36, 50, 0])
+    at, of, sizes = L._windows(np.cumsum(lengths + 1) - lengths - 1, lengths, 24, 12)
+    first = (np.cumsum(lengths + 1) - lengths - 1)[of]
+    assert list(zip(of.tolist(), (at - first).tolist(), sizes.tolist())) == [
+        (1, 0, 5), (2, 0, 24), (3, 0, 24), (3, 1, 24), (4, 0, 24), (4, 12, 24), (5, 0, 24), (5, 12, 24), (5, 24, 24), (5, 26, 24),
+    ]
+
+
+def test_reworded_passages_do_not_depend_on_other_texts(spark):
+    item = " ".join(f"w{n}" for n in range(24))
+    leak = "plain " * 14 + " ".join(item.split()[:20])
+    for before in (0, 4, 11):
+        for after in (0, 9):
+            docs = [(2, "text " * before), (1, leak), (3, "text " * after)]
+            assert reworded(spark, docs if before or after else docs[1:2], [(1, item)]) == {(1, 1): 20 / 24}
+
+
+def test_a_text_shorter_than_a_window_is_compared(spark):
+    item = " ".join(f"w{n}" for n in range(24))
+    assert reworded(spark, [(1, " ".join(item.split()[:20]))], [(1, item)]) == {(1, 1): 20 / 24}

@@ -28,6 +28,19 @@ BLOCK_CELLS = 8_000_000
 AT_ONCE = 8_000_000
 
 
+def _windows(starts: np.ndarray, lengths: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows of ``size`` words start, whose they are, and how many words they have.
+
+    Each text has one at every multiple of ``step`` and one flush with its end; a shorter one is one window as it is.
+    """
+    some = np.flatnonzero(lengths)
+    last = np.maximum(lengths[some] - size, 0)
+    counts = -(-last // step) + 1
+    of = np.repeat(np.arange(len(some)), counts)
+    offset = np.minimum((np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)) * step, last[of])
+    return starts[some][of] + offset, some[of], np.minimum(lengths[some], size)[of]
+
+
 def words_of(text: str | None) -> list[str]:
     """Runs of ASCII letters and digits of the lower-cased text; none for null."""
     return WORDS(text.lower()) if text else []
@@ -71,6 +84,11 @@ class Corpus:
     doc: np.ndarray
     keys: list = field(default_factory=list)
 
+    def windows(self, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of each text, by ``_windows``."""
+        lengths = np.bincount(self.doc, minlength=len(self.keys)) - 1
+        return _windows(np.cumsum(lengths + 1) - lengths - 1, lengths, size, step)
+
     @classmethod
     def of(cls, keys: list, texts: list[str | None], vocabulary: dict[str, int]) -> Corpus:
         cut = [words_of(t) for t in texts]
@@ -123,12 +141,18 @@ class Latent:
     idf: np.ndarray
     documents: int
 
-    def of(self, words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-        """Unit vectors of passages; equal passages get equal vectors to the last bit. Words of id < 0 count nothing."""
+    def of(self, words: np.ndarray, starts: np.ndarray, size: int, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Unit vectors of passages; equal passages get equal vectors to the last bit. Words of id < 0 count nothing.
+
+        ``sizes`` has the words of each passage where some have fewer than ``size``.
+        """
         table = np.vstack([self.terms, np.zeros((2, self.terms.shape[1]), dtype=np.float32)])
         total = np.zeros((len(starts), self.terms.shape[1]), dtype=np.float32)
         for j in range(size):
-            total += table[words[starts + j]]
+            if sizes is None:
+                total += table[words[starts + j]]
+            else:
+                total += table[np.where(j < sizes, words[np.minimum(starts + j, len(words) - 1)], -1)]
         return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), np.float32(1e-30))
 
 
@@ -175,12 +199,14 @@ def fit(documents: DataFrame, key: str, text: str, items: Items) -> Latent:
     return Latent((idf[:, None] * left[:, :RANK]).astype(np.float32), idf, whole)
 
 
-def _near(space: Latent, words: np.ndarray, starts: np.ndarray, size: int, wanted: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _near(
+    space: Latent, words: np.ndarray, starts: np.ndarray, size: int, wanted: np.ndarray, least: float, sizes: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of passage and wanted vector with a cosine of ``least`` or more, block by block."""
     rows = max(1, BLOCK_CELLS // max(1, len(wanted)))
     for lo in range(0, len(starts), rows):
         some = starts[lo : lo + rows]
-        cosine = space.of(words, some, size) @ wanted.T
+        cosine = space.of(words, some, size, None if sizes is None else sizes[lo : lo + rows]) @ wanted.T
         p, q = np.nonzero(cosine >= least)
         yield some[p], q, cosine[p, q]
 
@@ -272,7 +298,8 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 def find_reworded(documents: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", least: float = 0.7, common: float = 0.6) -> DataFrame:
     """Documents with a passage that follows an item's, word for word or reworded: key, item, shared.
 
-    Passages of ``LONG`` words at every ``HALF`` are held against each other in the latent space. A pair with a cosine
+    Passages of ``LONG`` words at every ``HALF`` are held against each other in the latent space; those of a document
+    start at its own words and the last one ends with it, so its neighbours in a task make no difference. A pair with a cosine
     of ``least`` or more is a leak if the item passage and the document's words around its place share a subsequence
     of at least ``common`` of the item passage, and if at least half of the passage's own words, those of which the
     answer is made and that few other items use, stand there too: items of one template share their wording, not
@@ -303,13 +330,14 @@ def find_reworded(documents: DataFrame, items: DataFrame, key: str = "doc_id", i
             for keys, texts in _batches(batches):
                 corpus = Corpus.of(keys, texts, known.vocabulary)
                 inside = np.concatenate([[0], np.cumsum(corpus.words >= 0)])
-                places = np.arange(0, max(0, len(corpus.words) - LONG + 1), HALF)
-                places = places[inside[places + LONG] - inside[places] >= HALF]
+                places, _, sizes = corpus.windows(LONG, HALF)
+                kept = 2 * (inside[places + sizes] - inside[places]) >= sizes
+                places, sizes = places[kept], sizes[kept]
                 best: dict[tuple[int, int], float] = {}
-                for p, q, _ in _near(space, corpus.words, places, LONG, wanted, least):
+                for p, q, _ in _near(space, corpus.words, places, LONG, wanted, least, sizes):
                     for x, y in zip(p.tolist(), q.tolist()):
                         lo, hi = max(0, x - HALF), x + LONG + HALF
-                        near, d = corpus.words[lo:hi], corpus.doc[x + HALF]
+                        near, d = corpus.words[lo:hi], corpus.doc[x]
                         near = near[corpus.doc[lo:hi] == d].tolist()
                         if 2 * len(rare[y].intersection(near)) < len(rare[y]):
                             continue

@@ -150,3 +150,20 @@ def test_reworded_passages_do_not_depend_on_other_texts(spark):
 def test_a_text_shorter_than_a_window_is_compared(spark):
     item = " ".join(f"w{n}" for n in range(24))
     assert reworded(spark, [(1, " ".join(item.split()[:20]))], [(1, item)]) == {(1, 1): 20 / 24}
+
+
+def test_short_items_and_the_ends_of_items_are_found_reworded(spark):
+    item = " ".join(f"w{n}" for n in range(35))
+    short = [(2, "how many legs has a spider eight"), (3, "")]
+    docs = [(1, "plain " * 20 + " ".join(item.split()[19:]) + " plain" * 20), (2, "text " * 9 + "how many legs has one spider eight" + " text" * 7)]
+    # Of the last 24 words, 16 are there; of the 24 before those that are at a multiple of 12, only 5.
+    assert reworded(spark, docs, [(1, item), *short]) == {(1, 1): 16 / 24, (2, 2): 6 / 7}
+
+
+def test_passages_among_many_foreign_words_are_compared(spark):
+    # Under half of any 24 words are the item's, but they are those with weight; the rest of it stands everywhere.
+    rare, everywhere = [f"r{n}" for n in range(15)], " ".join(f"c{n}" for n in range(9))
+    spread = " ".join(f"{w} x{n} y{n}" if n % 2 else f"{w} x{n}" for n, w in enumerate(rare))
+    docs = [(1, spread), *[(100 + n, everywhere) for n in range(40)]]
+    got = reworded(spark, docs, [(1, " ".join(rare) + " " + everywhere)])
+    assert got == {(1, 1): 15 / 24}

@@ -298,13 +298,13 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 def find_reworded(documents: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", least: float = 0.7, common: float = 0.6) -> DataFrame:
     """Documents with a passage that follows an item's, word for word or reworded: key, item, shared.
 
-    Passages of ``LONG`` words at every ``HALF`` are held against each other in the latent space; those of a document
-    start at its own words and the last one ends with it, so its neighbours in a task make no difference. A pair with a cosine
+    Passages of ``LONG`` words at every ``HALF`` are held against each other in the latent space; those of a text start
+    at its own words and the last one ends with it, so its neighbours in a task make no difference. An item of fewer
+    words is one passage, held against windows of its own length. A pair with a cosine
     of ``least`` or more is a leak if the item passage and the document's words around its place share a subsequence
     of at least ``common`` of the item passage, and if at least half of the passage's own words, those of which the
     answer is made and that few other items use, stand there too: items of one template share their wording, not
-    these. ``shared`` is the greatest such share. One row per pair; nulls as in ``find_leaks``. A document passage of
-    which more than half is foreign to all items is not compared.
+    these. ``shared`` is the greatest such share. One row per pair; nulls as in ``find_leaks``.
     """
     spark = documents.sparkSession
     kind = [to_arrow_type(documents.schema[key].dataType), to_arrow_type(items.schema[item].dataType)]
@@ -312,39 +312,44 @@ def find_reworded(documents: DataFrame, items: DataFrame, key: str = "doc_id", i
     out = spark.createDataFrame([], kinds)
     for block in _blocks(items, item, text):
         known = Items.of(block)
-        starts, owner = known.passages(LONG, HALF)
+        starts, owner, lengths = _windows(known.starts, known.lengths, LONG, HALF)
         if not len(starts):
             continue
         space = fit(documents, key, text, known)
-        model = spark.sparkContext.broadcast((known, starts, owner, space))
+        model = spark.sparkContext.broadcast((known, starts, owner, lengths, space))
 
         def work(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            known, starts, owner, space = model.value
-            wanted = space.of(known.words, starts, LONG)
+            known, starts, owner, lengths, space = model.value
+            # Passages of whole items under LONG words are held against windows of their own length.
+            groups = {int(m): np.flatnonzero(lengths == m) for m in np.unique(lengths)}
+            wanted = {m: space.of(known.words, starts[of], m) for m, of in groups.items()}
             users = np.zeros(len(known.vocabulary), dtype=np.int64)
             for s, m in zip(known.starts, known.lengths):
                 users[np.unique(known.words[s : s + m])] += 1
             common_to = max(2, len(known.ids) // 50)
-            passage = [known.words[s : s + LONG].tolist() for s in starts]
+            passage = [known.words[s : s + m].tolist() for s, m in zip(starts, lengths)]
             rare = [{w for w in p if users[w] <= common_to} for p in passage]
             for keys, texts in _batches(batches):
                 corpus = Corpus.of(keys, texts, known.vocabulary)
                 inside = np.concatenate([[0], np.cumsum(corpus.words >= 0)])
-                places, _, sizes = corpus.windows(LONG, HALF)
-                kept = 2 * (inside[places + sizes] - inside[places]) >= sizes
-                places, sizes = places[kept], sizes[kept]
                 best: dict[tuple[int, int], float] = {}
-                for p, q, _ in _near(space, corpus.words, places, LONG, wanted, least, sizes):
-                    for x, y in zip(p.tolist(), q.tolist()):
-                        lo, hi = max(0, x - HALF), x + LONG + HALF
-                        near, d = corpus.words[lo:hi], corpus.doc[x]
-                        near = near[corpus.doc[lo:hi] == d].tolist()
-                        if 2 * len(rare[y].intersection(near)) < len(rare[y]):
-                            continue
-                        share = common_subsequence(passage[y], near) / LONG
-                        if share >= common:
-                            pair = int(d), int(owner[y])
-                            best[pair] = max(best.get(pair, 0.0), share)
+                for m, of in groups.items():
+                    half = max(1, m // 2)
+                    places, _, sizes = corpus.windows(m, half)
+                    # Without a word of any item, the vector is zero and near none.
+                    kept = inside[places + sizes] > inside[places]
+                    places, sizes = places[kept], sizes[kept]
+                    for p, q, _ in _near(space, corpus.words, places, m, wanted[m], least, sizes):
+                        for x, y in zip(p.tolist(), of[q].tolist()):
+                            lo, hi = max(0, x - half), x + m + half
+                            near, d = corpus.words[lo:hi], corpus.doc[x]
+                            near = near[corpus.doc[lo:hi] == d].tolist()
+                            if 2 * len(rare[y].intersection(near)) < len(rare[y]):
+                                continue
+                            share = common_subsequence(passage[y], near) / m
+                            if share >= common:
+                                pair = int(d), int(owner[y])
+                                best[pair] = max(best.get(pair, 0.0), share)
                 found = sorted(best)
                 yield pa.RecordBatch.from_arrays(
                     [

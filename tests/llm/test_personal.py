@@ -85,3 +85,17 @@ def test_redaction_leaves_the_rest(spark):
     got = sorted((tuple(r) for r in P.redact(docs, names).collect()), key=repr)
     line = "[NAME] <[EMAIL]> [NAME]"
     assert got == sorted([(1, line), (1, line), (2, None), (3, ""), (None, "call [PHONE]!"), (4, "plain")], key=repr)
+
+
+LABELS = (
+    "ssn|social security|social insurance|passport|travel document|nino|ni|national insurance|insurance|tax|taxpayer|tax id|taxpayer id|tin|vat id|national id|"
+    "national identity|id card|identity|identity card|civic|personal|personnummer|person number|citizen|citizen id|resident|resident id|driver's license|"
+    "drivers licence|driver license|driving licence|health card|medicare|nhs|cpf|dni|nie|nif|bsn|pesel|aadhaar|iban"
+)
+
+
+@pytest.mark.parametrize("label", LABELS.split("|"))
+@pytest.mark.parametrize("number", ["963487903", "12AB34567", "12/345/67890"])
+def test_labelled_numbers_of_any_form_are_found_whatever_else_the_text_says(finder, label, number):
+    for text in (f"{label} {number}", f"x, {label.upper()}: {number}.", f"the {label} no. {number} for the driver, a resident"):
+        assert pieces(finder, text) == [("id_number", number)]

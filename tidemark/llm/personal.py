@@ -49,6 +49,11 @@ _LABELS = (
     r"national id(?:entity)?|id card|identity(?: card)?|civic|personal|personnummer|person number|citizen(?: id)?|resident(?: id)?|"
     r"driver'?s? licen[cs]e|driving licen[cs]e|health card|medicare|nhs|cpf|dni|nie|nif|bsn|pesel|aadhaar|iban"
 )
+#: How each of the labels begins; there is none without one of these.
+LABEL_CUES = (
+    "ssn", "social ", "passport", "travel document", "ni", "national i", "insurance", "tax", "tin", "vat id", "id card", "identity", "civic", "person", "citizen",
+    "resident", "driver", "driving ", "health card", "medicare", "nhs", "cpf", "dni", "nie", "nif", "bsn", "pesel", "aadhaar", "iban",
+)
 #: A label right before a number, and words that say what else it numbers.
 PERSON_LABEL = re.compile(rf"(?i)(?<![^\W_])(?:{_LABELS})(?: card)?[ _-]?(?:no|nr|num|number|id|code)?\.?[\s:=#\"']{{0,4}}\Z")
 OTHER_LABEL = re.compile(
@@ -135,6 +140,8 @@ class PersonalData:
             cues[cue].add("address")
         for cue in ("@", " at ", "at)", "at]", "at}", "at>"):
             cues[cue].add("email")
+        for cue in LABEL_CUES:
+            cues[cue].add("label")
         self.scan = ahocorasick.Automaton()
         for cue, what in cues.items():
             self.scan.add_word(cue, (len(cue), tuple(sorted(what))))
@@ -207,6 +214,10 @@ class PersonalData:
                     for m in ADDRESS.finditer(text, max(0, start - 90), end + 90):
                         if m.start() <= end and m.end() >= start:
                             found["address"].add(m.span())
+                elif kind == "label":
+                    if (m := LABEL_ANYWHERE.match(low, start)) and (v := LABELLED.match(text, m.end())):
+                        if sum(c.isdigit() for c in v.group()) >= 6 and not text[v.end() : v.end() + 1].isalnum():
+                            found["id_number"].add(v.span())
                 else:
                     self._name(text, start, end, kind, found["name"])
         at = 0
@@ -220,9 +231,6 @@ class PersonalData:
                 at = m.end()
                 if got := self._number(text, m):
                     found[got[0]].add(got[1:])
-        for m in LABEL_ANYWHERE.finditer(low) if LABEL_HINT.search(low) else ():
-            if (v := LABELLED.match(text, m.end())) and sum(c.isdigit() for c in v.group()) >= 6 and not text[v.end() : v.end() + 1].isalnum():
-                found["id_number"].add(v.span())
         starts: list[int] = []
         taken: list[tuple[int, int, str]] = []
         for kind in KINDS:
@@ -254,7 +262,6 @@ class PersonalData:
 
 
 LABEL_ANYWHERE = re.compile(rf"(?<![^\W_])(?:{_LABELS})(?: card)?[ _-]?(?:no|nr|num|number|id|code)?\.?[\s:=#\"']{{1,4}}(?=[a-z]{{0,3}}\d)")
-LABEL_HINT = re.compile("licen[cs]e no|driving licen|driver|health card|medicare|nhs|aadhaar|pesel|bsn|nif|nie |cpf|dni|citizen|resident|social insurance")
 
 
 def luhn(digits: list[int]) -> bool:

@@ -62,12 +62,21 @@ def key_by(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wordcount_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the arriving rows with their running count per hour: split, key, count."""
+    """Words of the arriving rows with their final count per hour: split, key, count. The count at every row is wordcount_running."""
     rows = table(spark, d, "input_rows").select(F.col("arrived_at").alias("event_time"), F.col("word").alias("text"))
     words = Pipeline(spark).source(rows).apply(transforms.split_words, "text").key_by("word").frame
     return words.withColumn("ms", bucket_start(epoch_ms(words, "event_time"), HOUR)).groupBy(F.col("ms").alias("window_start_ms"), "key").agg(F.count("*").alias("count"))
 
 
+def wordcount_running(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the arriving rows, each with its count in the hour so far: split, key, count at every row."""
+    rows = table(spark, d, "input_rows").select(F.col("arrived_at").alias("event_time"), F.col("word").alias("text"))
+    words = Pipeline(spark).source(rows).apply(transforms.split_words, "text").key_by("word").frame
+    # Rows are stored as they arrived; within one of them the words count from left to right.
+    out = running.running_count(words.withColumn("arrival", F.monotonically_increasing_id()), "key", F.col("arrival"), size_ms=HOUR)
+    return out.select("event_ms", "window_start_ms", "key", "count")
+
+
 def sliding_avg_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Average value per user over five minutes, every minute."""
     frame = Pipeline(spark).source(_events(spark, d)).key_by("user_id").window(Sliding(5 * MINUTE, MINUTE), agg="avg", field="value").frame
@@ -175,7 +184,7 @@ def orders_sliding(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f"{kind}_{agg}": _windowed(kind, agg) for kind in WINDOWS for agg in FIELDS} | {f.__name__: f for f in (
-    sliding_nondivisible, sliding_slide_gt_size, running_count, map_explode_words, filter_pred, key_by, wordcount_pipeline,
+    sliding_nondivisible, sliding_slide_gt_size, running_count, map_explode_words, filter_pred, key_by, wordcount_pipeline, wordcount_running,
     sliding_avg_pipeline, json_field_agg, null_as_zero_avg, distinct_with_null, watermark_running, late_drop_record,
     end_of_input, fold_sum, fold_merge_sliding, parquet_sink_layout, parquet_field_layout, kafka_payload_time, kafka_decode,
     payload_bytes, arrival_sessions, arrival_sessions_shuffled, lineitem_monthly, orders_sliding,

@@ -198,3 +198,21 @@ def test_starts_truncate_toward_zero():
     assert starts_of(-1, Tumbling(60)) == [0] and starts_of(-61, Tumbling(60)) == [-60] and starts_of(59, Tumbling(60)) == [0]
     assert starts_of(50_001, Sliding(60_000, 25_000)) == [50_000, 25_000] and starts_of(5, Sliding(10, 20)) == []
     assert datetime.fromtimestamp(0, timezone.utc).year == 1970
+
+
+def test_distinct_values_of_sessions_over_many_buckets(spark):
+    hour = 3_600_000
+    times = [(k, n * 500_000) for k in ("a", None) for n in range(40)] + [("a", 40 * hour), ("a", 40 * hour), ("b", -1), ("b", 1)]
+    rows_ = [(k, ms, n % 7 if n % 5 else None) for n, (k, ms) in enumerate(times)]
+    df = spark.createDataFrame(rows_, "k string, ms long, v long").selectExpr("k", "timestamp_millis(ms) AS event_time", "v")
+    out = windowed_aggregate(df, Session(600_000), "k", "distinct", "v")
+    want, open_ = [], {}
+    for k, ms, v in sorted(rows_, key=lambda r: r[1]):
+        if k not in open_ or ms - open_[k][1] > 600_000:
+            open_[k] = [ms, ms, set()]
+            want.append((k, open_[k]))
+        open_[k][1] = ms
+        open_[k][2].add(v)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(a, b + 600_000, k, len(v)) for k, (a, b, v) in want], key=repr)
+    # No task merges all sessions of a key.
+    assert "session_window" not in out._jdf.queryExecution().toString()

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import epoch_ms
+from tidemark.functions.columns import epoch_ms, floor_div
 from tidemark.functions.payload import as_number, as_text, finite
-from tidemark.operators.sessionize import sessionize
+from tidemark.operators.sessionize import HOUR_MS, sessionize
 
 AGGREGATES = ("count", "sum", "avg", "distinct")
 OUTPUT = {"count": "count", "sum": "sum", "avg": "avg", "distinct": "distinct_count"}
@@ -115,11 +115,15 @@ def _batch(rows: DataFrame, window: Window, agg: str) -> DataFrame:
 
 def _batch_sessions(rows: DataFrame, window: Session, agg: str) -> DataFrame:
     if agg == "distinct":
-        found = rows.withColumn("_at", F.timestamp_millis("_ms")).groupBy(F.session_window("_at", f"{window.gap_ms} milliseconds").alias("_w"), "_k")
-        out = found.agg(F.count_distinct("_v").alias("distinct_count"))
-        return out.select(
-            F.unix_millis("_w.start").alias("window_start_ms"), F.unix_millis("_w.end").alias("window_end_ms"), F.col("_k").alias("key"), "distinct_count"
-        )
+        # Rows meet their session in the time buckets it reaches into, so that a key is not one task here either.
+        spans = sessionize(rows, {"_key": F.struct("_k")}, F.col("_ms"), window.gap_ms)
+        reach = F.sequence(floor_div(F.col("first_ms"), HOUR_MS), floor_div(F.col("last_ms"), HOUR_MS))
+        spans = spans.select(F.col("_key._k").alias("_sk"), "first_ms", "last_ms", F.explode(reach).alias("_sb"))
+        seen = rows.select("_k", "_ms", "_v").distinct().withColumn("_bucket", floor_div(F.col("_ms"), HOUR_MS))
+        same = F.col("_k").eqNullSafe(F.col("_sk")) & (F.col("_bucket") == F.col("_sb")) & F.col("_ms").between(F.col("first_ms"), F.col("last_ms"))
+        out = seen.join(spans, same).groupBy("_k", "first_ms", "last_ms").agg(F.count_distinct("_v").alias("distinct_count"))
+        end = (F.col("last_ms") + window.gap_ms).alias("window_end_ms")
+        return out.select(F.col("first_ms").alias("window_start_ms"), end, F.col("_k").alias("key"), "distinct_count")
     # A null key is a key here: inside a struct it is not left out.
     found = sessionize(rows, {"_key": F.struct("_k")}, F.col("_ms"), window.gap_ms, value=None if agg == "count" else F.col("_v"))
     shown = F.col("n_rows") if agg == "count" else finite(F.col("total") / (F.col("n_rows") if agg == "avg" else 1))

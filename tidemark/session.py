@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -29,16 +33,26 @@ def build_session(master: str = "local[*]", app: str = "tidemark", **conf: objec
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to executors that do not have it, as a zip made on the driver; needless on one machine."""
-    import shutil
-    from pathlib import Path
+    """Gives this package to the Python workers of a session, once: as a zip of its code that executors fetch from the driver.
 
-    if spark.sparkContext.master.startswith("local"):
+    Operators that run Python call it, so that only the driver needs the package on its path. The zip, code and no
+    data, lies on the driver until it ends.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
         return
-    root = Path(__file__).resolve().parents[1]
-    archive = shutil.make_archive(str(Path(tempfile.mkdtemp()) / "tidemark"), "zip", root, "tidemark")
-    spark.sparkContext.addPyFile(archive)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tidemark-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(os.path.join(folder, "tidemark.zip"), "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    sc.addPyFile(os.path.join(folder, "tidemark.zip"))
+    _shipped.add(sc.applicationId)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,22 +1,31 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import leaks as L
 
+WORDS = re.compile("[a-z0-9]+").findall
 VOCABULARY = [f"w{i}" for i in range(30)] + ["the", "a", "of", "is"]
 FILLER = [f"z{i}" for i in range(200)] + ["the", "a", "of", "is"]
 
 
+def words_of(text):
+    return WORDS(text.lower()) if text else []
+
+
 def shared(docs, items):
     out = set()
     for d, text in docs:
-        words = L.words_of(text)
+        words = words_of(text)
         runs = {tuple(words[i : i + L.RUN]) for i in range(len(words) - L.RUN + 1)}
         for n, item in items:
-            other = L.words_of(item)
+            other = words_of(item)
             if any(tuple(other[i : i + L.RUN]) in runs for i in range(len(other) - L.RUN + 1)):
                 out.add((d, n))
     return out
@@ -34,7 +43,7 @@ def test_all_shared_runs_are_found_and_no_others(spark):
     docs = []
     for d in range(300):
         words = [rng.choice(FILLER) for _ in range(rng.randrange(60))]
-        item = L.words_of(rng.choice(items)[1])
+        item = words_of(rng.choice(items)[1])
         length = min(len(item), rng.choice([11, 12, 13, 30]))
         start = rng.randrange(len(item) - length + 1)
         cut = item[start : start + length]
@@ -60,19 +69,33 @@ def test_odd_texts(spark):
     assert L.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def test_items_may_come_in_blocks(spark, monkeypatch):
-    run = " ".join(f"w{i}" for i in range(12))
-    monkeypatch.setattr(L, "ITEMS_AT_ONCE", 2)
-    assert found(spark, [(1, run)], [(n, run if n % 2 else "none " * 20) for n in range(5)]) == {(1, 1), (1, 3)}
-
-
-def test_blocks_of_similarities_change_nothing(spark, monkeypatch):
+def test_what_a_task_takes_at_once_changes_nothing(spark, monkeypatch):
     run = " ".join(f"w{i}" for i in range(40))
-    monkeypatch.setattr(L, "BLOCK_CELLS", 1)
+    monkeypatch.setattr(L, "CHECKED_AT_ONCE", 2)
     monkeypatch.setattr(L, "AT_ONCE", 50)
     assert found(spark, [(n, run) for n in range(6)], [(1, run)]) == {(n, 1) for n in range(6)}
 
 
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(n, " ".join(rng.choice(VOCABULARY) for _ in range(40))) for n in range(30)]
+    docs = [(n, " ".join(items[n % 30][1].split()[n % 20 : n % 20 + 14])) for n in range(60)]
+    monkeypatch.setattr(L, "FILTER_BITS", (6, 6))
+    assert found(spark, docs, items) == shared(docs, items)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aZ09 _İK-")), max_size=30)), max_size=6), st.integers(0, 3))
+def test_words(texts, skip):
+    column = pa.array(texts, pa.string())[min(skip, len(texts)) :]
+    got = L.Texts.of(column)
+    want = [words_of(t) for t in column.to_pylist()]
+    assert got.lengths.tolist() == [len(w) for w in want]
+    code = {}
+    flat = [w for ws in want for w in ws]
+    assert all(code.setdefault(w, h) == h for w, h in zip(flat, got.words.tolist())) and len(set(code.values())) == len(code) and 0 not in code.values()
+
+
 def naive_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -86,21 +109,22 @@ def naive_lcs(a, b):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=40))
 def test_common_subsequence(a, b):
-    assert L.common_subsequence(a, b) == naive_lcs(a, b)
+    rows = [np.array([[w + 1 for w in x] + [0] * (n - len(x))], dtype=np.uint64) for x, n in ((a, 32), (b, 40))]
+    assert L.common_subsequences(*rows).tolist() == [naive_lcs(a, b)]
 
 
 def test_the_latent_space_keeps_most_of_the_corpus(spark):
     rng = random.Random(2)
     topics = [[f"t{t}w{i}" for i in range(12)] for t in range(6)]
     docs = [(d, " ".join(rng.choice(topics[d % 6]) for _ in range(80))) for d in range(240)]
-    items = L.Items.of([(n, " ".join(t)) for n, t in enumerate(topics)])
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    space = L.fit(df.repartition(4), "doc_id", "text", items)
-    again = L.fit(df.coalesce(1), "doc_id", "text", items)
+    items = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(topics)], "item_id long, text string")
+    df, words = spark.createDataFrame(docs, "doc_id long, text string"), L.ItemWords.of(items, "text")
+    assert (words.size, words.items, words.levels) == (72, 6, [0, 6, 0])
+    space = L.fit(df.repartition(4), "text", items, "text", words)
+    again = L.fit(df.coalesce(1), "text", items, "text", words)
     assert space.documents == 240 and np.allclose(space.idf, again.idf)
-    starts, _ = items.passages(12, 12)
-    unit = space.of(items.words, starts, 12)
-    assert np.allclose(np.linalg.norm(unit, axis=1), 1, atol=1e-5) and (abs(unit @ unit.T - np.eye(6)) < 0.2).all()
+    unit = space.of(L.Texts.of(pa.array([" ".join(t) for t in topics])).words.reshape(6, 12))
+    assert np.allclose(np.linalg.norm(unit, axis=1), 1, atol=1e-5) and (abs(unit @ unit.T - np.eye(6)) < 0.25).all()
 
 
 def test_reworded_passages(spark):
@@ -167,3 +191,79 @@ def test_passages_among_many_foreign_words_are_compared(spark):
     docs = [(1, spread), *[(100 + n, everywhere) for n in range(40)]]
     got = reworded(spark, docs, [(1, " ".join(rare) + " " + everywhere)])
     assert got == {(1, 1): 15 / 24}
+
+
+def planted(words, pool, how, rng):
+    """A rewording of some words."""
+    if how == "replaced":
+        return [rng.choice(pool) if rng.random() < 0.15 else w for w in words]
+    if how == "dropped":
+        return [w for w in words if rng.random() > 0.15]
+    if how == "reordered":
+        words = list(words)
+        for i in range(0, len(words) - 1, 2):
+            if rng.random() < 0.3:
+                words[i], words[i + 1] = words[i + 1], words[i]
+        return words
+    # Most words in any row are foreign to all items.
+    return [y for w in words for y in (w, *[f"q{rng.randrange(10**6)}" for _ in range(rng.choice((0, 1, 1, 2, 2)))])]
+
+
+@pytest.fixture(scope="module")
+def rewordings(spark):
+    """Items of few templates with words of their own, and texts of which each has a rewording of one of them."""
+    rng = random.Random(11)
+    made = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    templates = (
+        "a {0} holds {1} slots and the {2} must yield the {3} that keeps each {4} balanced assume that {5} never repeats and that {6} stays below {1} for instance {2} of {1} gives {7}",
+        "write {0} for a {1} in which no {2} may touch a {3} before its {4} is settled if {5} and {6} disagree by more than {7} prefer {3} the call of {0} should fail with code {7}",
+        "implement {0} which walks a {1} of {2} and reports every {3} whose {4} exceeds {5} do not alter {6} but copy {4} when the {3} is shared with it the answer is {7} then",
+    )
+    items = [(n, templates[n % 3].format(*[made() for _ in range(8)])) for n in range(90)]
+    pool = [made() for _ in range(300)] + "the of and a is for in that must when with return if not each".split()
+    docs, true = [], {}
+    for how in ("replaced", "dropped", "reordered", "foreign"):
+        for n, text in items:
+            base = [rng.choice(pool) for _ in range(rng.randrange(10, 90))]
+            at = rng.randrange(len(base))
+            true[len(docs)] = (n, how)
+            docs.append((len(docs), " ".join(base[:at] + planted(text.split(), pool, how, rng) + base[at:])))
+    docs += [(len(docs) + n, " ".join(rng.choice(pool) for _ in range(80))) for n in range(100)]
+    return docs, items, true
+
+
+def test_recall_and_precision_of_rewordings(spark, rewordings):
+    docs, items, true = rewordings
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in L.find_reworded(a.repartition(3), b).collect()}
+    for how in ("replaced", "dropped", "reordered", "foreign"):
+        want = {(d, n) for d, (n, h) in true.items() if h == how}
+        assert len(want & got) >= 0.9 * len(want), how
+    right = {(d, n) for d, (n, _) in true.items()}
+    assert len(got & right) >= 0.9 * len(got)
+    # How texts lie in tasks, and the order of the items, make no difference.
+    assert {(r.doc_id, r.item_id) for r in L.find_reworded(a.coalesce(1), b.orderBy(F.desc("item_id"))).collect()} == got
+
+
+def test_recall_of_the_index_against_brute_force(spark, rewordings):
+    docs, items, _ = rewordings
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    words = L.ItemWords.of(b, "text")
+    space = L.fit(a, "text", b, "text", words)
+    size = L.LEVELS[0][0]
+    lo = (L.SPAN - size) // 2
+    owner, _, near, begin, end, codes = next(L._item_passages(space, L.Texts.of(pa.array([t for _, t in items])), False))
+    mine, passage = near[:, lo : lo + size], L._cut(near, begin, end)
+    pairs, met = set(), set()
+    for known, at, piece, text, _, cells in L._document_passages(space, L.Texts.of(pa.array([t for _, t in docs])), False, 0.6):
+        around = known.around(at, size, piece)
+        p, q = np.nonzero(space.of(around[:, lo : lo + size]) @ space.of(mine).T >= 0.7)
+        some = L.common_subsequences(passage[q], around[p]) >= 0.6 * L.LONG
+        p, q = p[some], q[some]
+        same = (cells[p][:, :, None] == codes[q][:, None, :]).any(axis=(1, 2))
+        for x, y, s in zip(text[p].tolist(), owner[q].tolist(), same.tolist()):
+            pairs.add((x, y))
+            if s:
+                met.add((x, y))
+    right = {(d, n) for d, (n, _) in rewordings[2].items()}
+    assert len(pairs & right) > 300 and len(met & right) >= 0.9 * len(pairs & right)

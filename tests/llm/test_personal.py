@@ -99,3 +99,43 @@ LABELS = (
 def test_labelled_numbers_of_any_form_are_found_whatever_else_the_text_says(finder, label, number):
     for text in (f"{label} {number}", f"x, {label.upper()}: {number}.", f"the {label} no. {number} for the driver, a resident"):
         assert pieces(finder, text) == [("id_number", number)]
+
+
+def test_pieces_of_any_length_are_whole(finder):
+    local, street, town = "a" * 230, "X" + "quarrel" * 20, "B" + "rünhafen" * 15
+    assert pieces(finder, f"x {local}@b.example") == [("email", f"{local}@b.example")]
+    dots = " dot ".join(["w" * 9] * 40)
+    assert pieces(finder, f"({dots} at b dot example)") == [("email", f"{dots} at b dot example")]
+    assert pieces(finder, f"to 12 {street} {street} Lane, {town} 86180;") == [("address", f"12 {street} {street} Lane, {town} 86180")]
+    lead = "van der " * 6
+    assert pieces(finder, f"by {lead}Marskwick, Sabrin;") == [("name", f"{lead}Marskwick, Sabrin")]
+    assert pieces(finder, f"see https://{'x' * 400}.example/{'y/' * 300}me@host.example") == []
+
+
+@pytest.mark.parametrize("text", ["SSN 000-12-3456", "SSN: 666-12-3456", "ssn 123-00-4567", "ssn 123-45-0000", "IBAN GB82 WEST 1234 5698 7654 33", "iban DE00500105175407324931"])
+def test_numbers_that_cannot_be_are_not_found_whatever_the_label_says(finder, text):
+    assert pieces(finder, text) == []
+
+
+def test_names_off_the_list_are_found_where_the_text_introduces_them(finder):
+    assert pieces(finder, "Author: Priya Raghunathan\nSigned-off-by: Anna Kowalczyk <") == [("name", "Priya Raghunathan"), ("name", "Anna Kowalczyk")]
+    assert pieces(finder, "Author: Velmora Systems, coauthor Priya Raghu2, author: someone else") == []
+
+
+def test_long_lists_of_names_take_time_in_proportion():
+    import time
+
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    made = [(a + b + c + d).title() for a in syllables[:30] for b in syllables for c in syllables[:8] for d in ("rin", "holt", "wick")]
+    parts = [(w, kind) for kind in ("given", "family") for w in made[:25_000]]
+    began = time.process_time()
+    finder = P.PersonalData(P.NameModel(parts))
+    assert pieces(finder, f"by {made[7]} {made[23]} of") == [("name", f"{made[7]} {made[23]}")]
+    assert len(parts) == 50_000 and time.process_time() - began < 5
+
+
+def test_a_list_that_is_too_long_is_refused(spark):
+    names = spark.createDataFrame([(f"n{n}", "given") for n in range(12)], "name_part string, kind string")
+    assert len(P._model(names, 12)) == 12
+    with pytest.raises(ValueError, match="bounded"):
+        P._model(names, 11)

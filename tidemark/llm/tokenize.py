@@ -12,14 +12,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.session import ship_package
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts were cut into pieces (fixed values), and the same for texts of ASCII without separators 28 to 31.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
-#: Pieces whose ids a worker remembers, and texts that it takes at once, in code points. Neither changes a result.
-REMEMBERED = 500_000
+#: Pieces whose ids a worker remembers, the code points in them, and texts that it takes at once, in code points. None
+#: changes a result.
+REMEMBERED, REMEMBERED_POINTS = 500_000, 16_000_000
 AT_ONCE = 4_000_000
 NEVER = np.int64(1) << 62
 
@@ -179,12 +182,12 @@ class TextEncoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.points = 0
         self.starts, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
     def _learn(self, new: Iterable[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self._forget()
         new = list(new)
+        self.points += sum(map(len, new))
         ids = self.pieces.many([p.encode("utf-8", "surrogatepass") for p in new])
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         ends = self.starts[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)
@@ -199,7 +202,7 @@ class TextEncoder:
         needed = set(chain.from_iterable(cut))
         new = needed.difference(self.known)
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
+            if len(self.known) + len(new) > REMEMBERED or self.points + sum(map(len, new)) > REMEMBERED_POINTS:
                 self._forget()
                 new = needed
             self._learn(new)
@@ -233,6 +236,7 @@ def encode(df: DataFrame, key: str, text: str = "text", vocabulary: str = VOCABU
     of special tokens are ordinary text. Only the rank file, a few hundred kB whatever the data, is sent to the tasks.
     """
     spark = df.sparkSession
+    ship_package(spark)
     with open(vocabulary, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
 

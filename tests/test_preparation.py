@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clean_path, directory, epoch_ms, usable_ms, word_key
-from tidemark.operators import archive, dedup, frequent, late, rejects, skew
+from tidemark.operators import archive, dedup, late, rejects, skew
 from tidemark.operators.sessionize import sessionize
 
 EPOCH = datetime(1970, 1, 1)
@@ -249,34 +249,6 @@ def test_number_pattern_is_exact():
                 assert bool(pattern.match("00" + str(n))) == (n <= most)
 
 
-# ---- frequent items
-
-def test_most_frequent_is_exact_on_skewed_and_on_flat_data(spark, rows):
-    rng = random.Random(5)
-    words = [f"w{int(rng.paretovariate(0.8))}" for _ in range(5_000)] + [None] * 40 + [""] * 30
-    df = spark.createDataFrame([(w, 1) for w in words], "word string, _h int")
-    counts = {}
-    for w in words:
-        if w is not None:
-            counts[w] = counts.get(w, 0) + 1
-    want = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:10]
-    got = frequent.most_frequent(df, "word", 10, width=64)
-    assert [(r.word, r.n) for r in got.collect()] == want
-    assert all(r.n_estimate >= r.n for r in got.collect())
-    flat = spark.createDataFrame([(f"f{i % 3000}",) for i in range(6_000)], "word string")
-    assert [(r.word, r.n) for r in frequent.most_frequent(flat, "word", 3, width=1 << 13).collect()] == [("f0", 2), ("f1", 2), ("f10", 2)]
-    assert frequent.most_frequent(df.limit(0), "word", 3).count() == 0
-    few = spark.createDataFrame([(5,), (5,), (10,), (None,)], "v int")
-    assert [tuple(r) for r in frequent.most_frequent(few, "v", 9).select("v", "n").collect()] == [(5, 2), (10, 1)]
-
-
-def test_sketches_of_parts_add_up_to_that_of_the_whole(spark):
-    df = spark.range(4_000).selectExpr("cast(id % 37 as string) as w")
-    one = frequent.build_sketch(df.coalesce(1), "w", 32)
-    many = frequent.build_sketch(df.repartition(7), "w", 32)
-    assert (one.total == many.total).all() and (one.ones == many.ones).all()
-
-
 # ---- archives
 
 def listing(spark, data):

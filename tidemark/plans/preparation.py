@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clean_path, epoch_ms, floor_div, usable_ms, word_key
-from tidemark.operators import archive, dedup, frequent, late, rejects, skew
+from tidemark.operators import archive, dedup, late, rejects, skew
 from tidemark.operators.sessionize import sessionize
 from tidemark.session import table
 
@@ -104,18 +104,6 @@ def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
     return rejects.loaded(table(spark, d, "raw_lines"), ["raw_id"])
 
 
-def _words(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "input_rows").select(word_key(F.col("word")).alias("word"))
-
-
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return frequent.most_frequent(_words(spark, d), "word", 20).select("word")
-
-
-def p6_counts(spark: SparkSession, d: str) -> DataFrame:
-    return frequent.most_frequent(_words(spark, d), "word", 20).select("word", "n")
-
-
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return archive.small_files(table(spark, d, "sink_files")).select("path")
 
@@ -136,7 +124,7 @@ def p7_index(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_sessions, p1_user_sessions, p2_found, p2_revisions, p3_found, p3_keys, p3_pairs, p4_found, p4_once,
-    p5_found, p5_loaded, p6_found, p6_counts, p7_found, p7_restored, p7_index,
+    p5_found, p5_loaded, p7_found, p7_restored, p7_index,
 )}
 
 _WORD = "nullif(lower(trim(word, E' \\t\\r\\n')), '')"
@@ -224,8 +212,6 @@ ORACLES = {
     "p4_found": f"WITH {_MESSAGES} SELECT t AS _topic, p AS _partition, o AS _offset FROM ids GROUP BY t, p, o HAVING count(*) > 1",
     "p4_once": f"""WITH {_MESSAGES}, n AS (SELECT *, row_number() OVER (PARTITION BY t, p, o ORDER BY received_at, batch_id, payload) AS rn FROM ids)
         SELECT t AS _topic, p AS _partition, o AS _offset, batch_id, rms AS received_ms FROM n WHERE rn = 1""",
-    "p6_found": f"SELECT word FROM (SELECT {_WORD} AS word, count(*) AS n FROM input_rows GROUP BY 1) WHERE word IS NOT NULL ORDER BY n DESC, word LIMIT 20",
-    "p6_counts": f"SELECT word, n FROM (SELECT {_WORD} AS word, count(*) AS n FROM input_rows GROUP BY 1) WHERE word IS NOT NULL ORDER BY n DESC, word LIMIT 20",
     "p7_found": f"WITH {_SMALL} SELECT path FROM small",
     "p7_restored": f"WITH {_SMALL}, {_RECORDS} SELECT r.* FROM r JOIN small USING (path)",
     "p7_index": f"WITH {_SMALL}, {_RECORDS} SELECT dir, path, count(*) AS records FROM r JOIN small USING (path) GROUP BY dir, path",

@@ -21,7 +21,7 @@ def test_no_rows(spark, tmp_path, name):
 
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_all_null(spark, tmp_path, name):
-    for table in ("documents", "eval_items", "name_parts"):
+    for table in ("documents", "eval_items", "name_parts", "input_rows"):
         df = spark.read.parquet(f"{DATA}/{table}.parquet")
         nulls = df.limit(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
         nulls.coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))

@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import leaks, personal, tokenize
+from tidemark.functions.columns import word_key
+from tidemark.llm import frequent, leaks, personal, tokenize
 from tidemark.session import table
 
 
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "input_rows").select(word_key(F.col("word")).alias("word"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return frequent.most_frequent(_words(spark, d), "word", 20).select("word")
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    return frequent.most_frequent(_words(spark, d), "word", 20).select("word", "n")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"), "doc_id")
 
@@ -36,7 +49,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redact(table(spark, d, "documents"), table(spark, d, "name_parts"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_counts, p9_found, p9_reworded, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_counts, p8_ids, p8_counts, p9_found, p9_reworded, p10_found, p10_redacted)}
 
 _RUNS = """
     w AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word,
@@ -45,7 +58,11 @@ _RUNS = """
                       count(*) OVER (PARTITION BY {key} ORDER BY n ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS size FROM w)
 """
 
+_WORD = "nullif(lower(trim(word, E' \\t\\r\\n')), '')"
+
 ORACLES = {
+    "p6_found": f"SELECT word FROM (SELECT {_WORD} AS word, count(*) AS n FROM input_rows GROUP BY 1) WHERE word IS NOT NULL ORDER BY n DESC, word LIMIT 20",
+    "p6_counts": f"SELECT word, n FROM (SELECT {_WORD} AS word, count(*) AS n FROM input_rows GROUP BY 1) WHERE word IS NOT NULL ORDER BY n DESC, word LIMIT 20",
     "p9_found": f"""
         WITH items AS (WITH {_RUNS.format(key='item_id', table='eval_items', name='r')} SELECT DISTINCT item_id, run FROM r WHERE size = 12),
         docs AS (WITH {_RUNS.format(key='doc_id', table='documents', name='r')} SELECT DISTINCT doc_id, run FROM r WHERE size = 12)

@@ -37,18 +37,19 @@ def p1_user_sessions(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("duration_ms", F.col("last_ms") - F.col("first_ms"))
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return late.judged(late.messages(table(spark, d, "kafka_records")), CUTOFF_MS, period_ms=PERIOD_MS)
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    judged = late.judged(late.messages(table(spark, d, "kafka_records")), CUTOFF_MS, period_ms=PERIOD_MS, only_beyond=True)
+    return judged.filter("beyond").select(F.col("topic").alias("_topic"), F.col("part").alias("_partition"), F.col("off").alias("_offset"))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).filter("beyond").select(
-        F.col("topic").alias("_topic"), F.col("part").alias("_partition"), F.col("off").alias("_offset")
-    )
+def p2_triangle(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of event minute by arrival of a thousand offsets, with what each corrects."""
+    out = late.triangle(late.messages(table(spark, d, "kafka_records")), CUTOFF_MS, block=1000, period_ms=PERIOD_MS)
+    return out.select("topic", "part", "arrival", "period_start_ms", "added", "total", "all_beyond", "none_beyond")
 
 
 def p2_revisions(spark: SparkSession, d: str) -> DataFrame:
-    return late.revisions(_judged(spark, d), PERIOD_MS, PERIOD_MS)
+    return late.revisions(late.judged(late.messages(table(spark, d, "kafka_records")), CUTOFF_MS, period_ms=PERIOD_MS), PERIOD_MS, PERIOD_MS)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +124,7 @@ def p7_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_sessions, p1_user_sessions, p2_found, p2_revisions, p3_found, p3_keys, p3_pairs, p4_found, p4_once,
+    p1_found, p1_sessions, p1_user_sessions, p2_found, p2_triangle, p2_revisions, p3_found, p3_keys, p3_pairs, p4_found, p4_once,
     p5_found, p5_loaded, p7_found, p7_restored, p7_index,
 )}
 
@@ -203,6 +204,14 @@ ORACLES = {
         SELECT t AS topic, s AS period_start_ms, a AS arrival_start_ms, row_number() OVER w AS revision, n AS added,
                CAST(sum(n) OVER w AS BIGINT) AS total, max(hi) OVER w AS latest_ms
         FROM c WINDOW w AS (PARTITION BY t, s ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "p2_triangle": f"""WITH {_LATE},
+        c AS (SELECT t, p, CAST(floor(o / 1000) AS BIGINT) AS a, ms - ((ms % {PERIOD_MS}) + {PERIOD_MS}) % {PERIOD_MS} AS s, count(*) AS n, min(ms) AS lo, max(ms) AS hi FROM once GROUP BY 1, 2, 3, 4),
+        b AS (SELECT t, p, a, max(hi) AS top FROM c GROUP BY t, p, a),
+        d AS (SELECT *, max(top) OVER (PARTITION BY t, p ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carry FROM b)
+        SELECT t AS topic, p AS part, a AS arrival, s AS period_start_ms, n AS added,
+               CAST(sum(n) OVER (PARTITION BY t, p, s ORDER BY a ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total,
+               coalesce(hi < carry - {CUTOFF_MS}, false) AS all_beyond, lo >= greatest(top, coalesce(carry, top)) - {CUTOFF_MS} AS none_beyond
+        FROM c JOIN d USING (t, p, a)""",
     "p3_found": f"SELECT {_WORD} AS word FROM input_rows WHERE {_WORD} IS NOT NULL GROUP BY 1 HAVING count(*) * 50 >= (SELECT count(*) FROM input_rows)",
     "p3_keys": f"""SELECT {_WORD} AS word, count(*) AS n, min({_USABLE}) AS first_ms, max({_USABLE}) AS last_ms, round(sum(x), 2) AS sum_x
         FROM input_rows WHERE {_WORD} IS NOT NULL GROUP BY 1""",

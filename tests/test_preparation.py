@@ -293,8 +293,38 @@ def test_damage_is_noticed(spark):
 
 
 def test_archives_on_disk(spark, rows, tmp_path):
-    files = listing(spark, [("d/dt=1/a", 1, 1, 1), ("d/dt=1/b", 1, 1, 1)])
+    files = listing(spark, [("d/dt=1/a", 1, 1, 1), ("d/dt=1/b", 1, 1, 1), ("d/dt=1/none", 0, 1, 1)])
     df = spark.createDataFrame([(1, "d/dt=1/a", at(1), "p"), (2, "d/dt=1/b", None, None)], "record_id long, path string, event_time timestamp_ntz, payload string")
     archive.write_archives(archive.pack(archive.small_files(files), df), str(tmp_path / "out"))
-    back = archive.unpack(spark.read.parquet(str(tmp_path / "out")))
+    back = archive.unpack(spark.read.parquet(str(tmp_path / "out" / "blocks")))
     assert rows(back) == [(1, "d/dt=1/a", 1000, "p"), (2, "d/dt=1/b", None, None)]
+    assert archive.lookup(spark, str(tmp_path / "out"), "d/dt=1/b") == b'{"id":2,"us":null,"p":null}\n'
+    assert archive.lookup(spark, str(tmp_path / "out"), "d/dt=1/none") == b"" and archive.lookup(spark, str(tmp_path / "out"), "d/dt=1/z") is None
+
+
+@pytest.mark.parametrize("target", [1, 500, 1 << 20])
+def test_real_files_come_back_byte_for_byte(spark, tmp_path, monkeypatch, target):
+    monkeypatch.setattr(archive, "LANE_FILES", 10)
+    rng = random.Random(target)
+    made = {}
+    for n in range(60):
+        path = tmp_path / "in" / f"dt={n % 3}" / f"part {n}.bin"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        made[f"file:{path}"] = rng.randbytes(rng.choice([0, 1, 37, 300, 2_000]))
+        path.write_bytes(made[f"file:{path}"])
+    blocks = archive.pack_files(spark, str(tmp_path / "in"), target)
+    archive.write_archives(blocks, str(tmp_path / "out"))
+    entries = archive.index(spark.read.parquet(str(tmp_path / "out" / "blocks"))).collect()
+    assert {e.path for e in entries} == set(made)
+    back: dict[str, bytes] = {}
+    for r in archive.contents(spark.read.parquet(str(tmp_path / "out" / "blocks"))).orderBy("path", "part").collect():
+        back[r.path] = back.get(r.path, b"") + bytes(r.data)
+    assert back == made
+    for some in rng.sample(entries, 3):
+        assert archive.lookup(spark, str(tmp_path / "out"), some.path) == made[some.path]
+    # Blocks end at the target, and there are far fewer than files where that is large.
+    sizes = {}
+    for e in entries:
+        sizes.setdefault((e.dir, e.container, e.block), []).append(e.length)
+    assert all(sum(s) <= target or sum(1 for x in s if x) == 1 for s in sizes.values())
+    assert archive.pack_files(spark, str(tmp_path / "in"), target, below_bytes=300).select(F.explode("entries.path")).count() == sum(len(d) < 300 for d in made.values())

@@ -66,10 +66,8 @@ def p3_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of a word joined with the rows of the same word that have no user: per word, pairs and sums over them."""
-    rows = table(spark, d, "input_rows")
-    anonymous = skew.key_states(rows.filter(F.col("user_id").isNull()), {"word": word_key(F.col("word"))}, F.col("x"))
-    out = skew.eager_join_aggregate(_word_states(spark, d), anonymous, ["word"], ["word"])
+    """Rows of a word joined with all rows of the same word: per word, pairs and sums over them."""
+    out = skew.eager_join_aggregate(_word_states(spark, d), _word_states(spark, d), ["word"], ["word"])
     return out.select("word", "pairs", F.round("left_total", 2).alias("left_x"), F.round("right_total", 2).alias("right_x"), "first_ms", "last_ms")
 
 
@@ -105,22 +103,23 @@ def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
     return rejects.loaded(table(spark, d, "raw_lines"), ["raw_id"])
 
 
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return archive.pack(archive.small_files(table(spark, d, "sink_files")), table(spark, d, "sink_records"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return archive.small_files(table(spark, d, "sink_files")).select("path")
+    """The files that the archive's index holds."""
+    return archive.index(_blocks(spark, d)).filter("part = 0").select("path")
 
 
 def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     """The records of all small files, read back from the containers they were packed into."""
-    files = archive.small_files(table(spark, d, "sink_files"))
-    return archive.unpack(archive.pack(files, table(spark, d, "sink_records")))
+    return archive.unpack(_blocks(spark, d))
 
 
 def p7_index(spark: SparkSession, d: str) -> DataFrame:
     """What the containers hold of each file."""
-    files = archive.small_files(table(spark, d, "sink_files"))
-    blocks = archive.pack(files, table(spark, d, "sink_records"))
-    entries = blocks.select("dir", F.explode("entries").alias("e"))
-    return entries.groupBy("dir", F.col("e.path").alias("path")).agg(F.sum("e.records").alias("records"))
+    return archive.index(_blocks(spark, d)).groupBy("dir", "path").agg(F.sum("records").alias("records"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -217,11 +216,11 @@ ORACLES = {
         FROM input_rows WHERE {_WORD} IS NOT NULL GROUP BY 1""",
     "p3_pairs": f"""WITH r AS (SELECT {_WORD} AS word, x, user_id, {_USABLE} AS ms FROM input_rows)
         SELECT a.word, count(*) AS pairs, round(sum(a.x), 2) AS left_x, round(sum(b.x), 2) AS right_x, min(a.ms) AS first_ms, max(a.ms) AS last_ms
-        FROM r a JOIN r b ON a.word = b.word AND b.user_id IS NULL GROUP BY a.word""",
+        FROM r a JOIN r b ON a.word = b.word GROUP BY a.word""",
     "p4_found": f"WITH {_MESSAGES} SELECT t AS _topic, p AS _partition, o AS _offset FROM ids GROUP BY t, p, o HAVING count(*) > 1",
     "p4_once": f"""WITH {_MESSAGES}, n AS (SELECT *, row_number() OVER (PARTITION BY t, p, o ORDER BY received_at, batch_id, payload) AS rn FROM ids)
         SELECT t AS _topic, p AS _partition, o AS _offset, batch_id, rms AS received_ms FROM n WHERE rn = 1""",
     "p7_found": f"WITH {_SMALL} SELECT path FROM small",
     "p7_restored": f"WITH {_SMALL}, {_RECORDS} SELECT r.* FROM r JOIN small USING (path)",
-    "p7_index": f"WITH {_SMALL}, {_RECORDS} SELECT dir, path, count(*) AS records FROM r JOIN small USING (path) GROUP BY dir, path",
+    "p7_index": f"WITH {_SMALL}, {_RECORDS} SELECT dir, path, count(record_id) AS records FROM small LEFT JOIN r USING (path) GROUP BY dir, path",
 }

@@ -173,14 +173,34 @@ def test_filter_has_no_false_negatives_and_few_false_positives():
     assert bloom.might_contain(others).mean() < 0.02
 
 
-def test_screen_finds_repeats_over_many_buckets():
-    import pandas as pd
+def test_few_false_positives_within_a_shard():
+    import numpy as np
+
+    shards = 4096
+    rng = np.random.default_rng(5)
+    ids, others = (rng.integers(0, 1 << 50, 519 if n == 0 else 200_000) * shards + 77 for n in range(2))
+    bloom = dedup.BloomFilter(len(ids))
+    bloom.add(ids)
+    assert len(bloom.words) * 64 <= 11 * len(ids) and bloom.might_contain(ids).all()
+    assert bloom.might_contain(others).mean() < 0.015
+
 
-    frame = pd.DataFrame({"_shard": 0, "_bucket": range(100), "_hash": random.Random(8).sample(range(1 << 62), 100)})
-    frame.loc[[3, 40, 99], "_hash"] = 7 << 55
-    hits = pd.concat(dedup._screen(iter([frame[:30], frame[30:30], frame[30:]])))
-    found = {tuple(r) for r in hits[hits["_hash"] == 7 << 55][["_bucket", "_earlier"]].itertuples(index=False)}
-    assert found >= {(40, 3), (99, 3), (99, 40)} and len(hits) < 30
+def test_screen_finds_repeats_over_many_buckets():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    n = 3_000  # more buckets than two levels of summaries cover
+    hashes = rng.sample(range(1 << 62), n)
+    names = [f"n{i}" for i in range(n)]
+    for i in (3, 40, 99, 2_999):
+        hashes[i], names[i] = 7 << 55, "again"
+    for i in (50, 2_000):  # of one hash, but different
+        hashes[i] = 5 << 50
+    table = pa.table({"_bucket": pa.array(range(n), pa.int64()), "_hash": pa.array(hashes, pa.int64()), "id": names})
+    got = pa.Table.from_batches(dedup._screened(iter(table.to_batches(max_chunksize=7)), 1))
+    assert got.column_names == ["_bucket", "_hash", "id", "_again"]
+    assert np.flatnonzero(np.asarray(got.column("_again"))).tolist() == [40, 99, 2_999]
 
 
 # ---- rejects

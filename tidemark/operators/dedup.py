@@ -3,35 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import floor_div
-from tidemark.session import partitions
+from tidemark.session import partitions, ship_package
 
 #: Bits per identifier and probes of a filter: about 1 % of new identifiers are taken for possible repeats.
 BITS_PER_ID = 10
 PROBES = 7
+#: Filters that share a summary filter, and summaries that share one of the next level.
+GROUP = 32
+#: Bytes of input, as Spark estimates them, whose identifiers make one shard: some 2 million, in about 100 MB of a task.
+SHARD_BYTES = 64 << 20
 
 
 class BloomFilter:
     """Set of 64-bit hashes with false positives only, over numpy arrays."""
 
     def __init__(self, expected: int, bits_per_id: int = BITS_PER_ID, probes: int = PROBES):
-        size = 1 << max(10, int(max(1, expected) * bits_per_id - 1).bit_length())
-        self.mask = np.uint64(size - 1)
-        self.words = np.zeros(size >> 6, dtype=np.uint64)
+        self.words = np.zeros(max(1, -(-max(1, expected) * bits_per_id // 64)), dtype=np.uint64)
         self.probes = probes
 
     def _positions(self, hashes: np.ndarray) -> np.ndarray:
+        # Mixed anew: all hashes of a shard agree in what the shard was chosen by.
         h = hashes.astype(np.int64, copy=False).view(np.uint64)
-        step = (h >> np.uint64(32)) | np.uint64(1)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+        h = (h ^ (h >> np.uint64(28))) * np.uint64(0xD6E8FEB86659FD93)
+        h = h ^ (h >> np.uint64(32))
+        step = (h >> np.uint64(33)) | np.uint64(1)
         at = np.arange(self.probes, dtype=np.uint64)[:, None]
-        with np.errstate(over="ignore"):
-            return (h[None, :] + at * step[None, :]) & self.mask
+        return ((h & np.uint64(0xFFFFFFFF))[None, :] + at * step[None, :]) % np.uint64(64 * len(self.words))
 
     def add(self, hashes: np.ndarray) -> None:
         pos = self._positions(hashes).ravel()
@@ -43,56 +51,100 @@ class BloomFilter:
         return (bits & np.uint64(1)).all(axis=0)
 
 
-def _runs(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
-    """The hashes of each (shard, time bucket), from rows that are sorted by both."""
+@dataclass
+class Stored:
+    """The identifiers of one time bucket, by hash, with their filter."""
+
+    ids: pa.RecordBatch
+    hashes: np.ndarray
+    order: np.ndarray
+    bloom: BloomFilter
+
+    @classmethod
+    def of(cls, ids: pa.RecordBatch, hashes: np.ndarray) -> Stored:
+        bloom = BloomFilter(len(hashes))
+        bloom.add(hashes)
+        order = np.argsort(hashes, kind="stable")
+        return cls(ids, hashes[order], order, bloom)
+
+    def has(self, ids: pa.RecordBatch, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the identifiers ``ids[at]`` are in this bucket, exactly."""
+        lo, hi = np.searchsorted(self.hashes, hashes[at]), np.searchsorted(self.hashes, hashes[at], side="right")
+        out = np.zeros(len(at), dtype=bool)
+        for k in range(int((hi - lo).max(initial=0))):
+            some = np.flatnonzero(lo + k < hi)
+            mine, theirs = pa.array(at[some]), pa.array(self.order[lo[some] + k])
+            same = np.ones(len(some), dtype=bool)
+            for a, b in zip(ids.columns, self.ids.columns):
+                same &= np.asarray(pc.equal(a.take(mine), b.take(theirs)).fill_null(False).to_numpy(zero_copy_only=False))
+            out[some] |= same
+        return out
+
+
+@dataclass
+class Buckets:
+    """Storage by time bucket, under a tree of summary filters; ``roots[n]`` has what no summary of level n + 1 covers yet."""
+
+    roots: list[list] = field(default_factory=lambda: [[]])
+
+    def add(self, stored: Stored) -> None:
+        self.roots[0].append((stored.bloom, stored, [stored.hashes]))
+        level = 0
+        while len(self.roots[level]) == GROUP:
+            group, self.roots[level] = self.roots[level], []
+            held = [h for _, _, hashes in group for h in hashes]
+            summary = BloomFilter(sum(map(len, held)))
+            for h in held:
+                summary.add(h)
+            if level + 1 == len(self.roots):
+                self.roots.append([])
+            self.roots[level + 1].append((summary, group, held))
+            level += 1
+
+    def matching(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, Stored]]:
+        """Buckets whose filters have some of the hashes, and which; all others are definitely new to a bucket."""
+        open_ = [(node, np.arange(len(hashes))) for level in self.roots for node in level]
+        while open_:
+            (bloom, below, _), at = open_.pop()
+            at = at[bloom.might_contain(hashes[at])]
+            if not len(at):
+                continue
+            if isinstance(below, Stored):
+                yield at, below
+            else:
+                open_ += [(node, at) for node in below]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each time bucket (the first column), from rows that are sorted by it."""
     at, held = None, []
-    for part in parts:
-        if part.empty:
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        pairs = part[["_shard", "_bucket"]].to_numpy()
-        hashes = part["_hash"].to_numpy()
-        cuts = np.flatnonzero((pairs[1:] != pairs[:-1]).any(axis=1)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(pairs)]):
-            key = (int(pairs[lo, 0]), int(pairs[lo, 1]))
-            if key != at and held:
-                yield at, np.concatenate(held)
+        buckets = np.asarray(batch.column(0))
+        cuts = np.flatnonzero(buckets[1:] != buckets[:-1]) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(buckets)]):
+            if buckets[lo] != at and held:
+                yield pa.concat_batches(held)
                 held = []
-            at = key
-            held.append(hashes[lo:hi])
+            at = buckets[lo]
+            held.append(batch.slice(lo, hi - lo))
     if held:
-        yield at, np.concatenate(held)
+        yield pa.concat_batches(held)
 
 
-#: Time buckets that share a summary filter, so that a new bucket is first held against the summaries only.
-GROUP = 32
-
-
-def _screen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Possible repeats: the hash, its time bucket and an earlier bucket whose filter has it."""
-    shard: int | None = None
-    full: list[tuple[BloomFilter, list[tuple[int, BloomFilter]]]] = []
-    recent: list[tuple[int, BloomFilter, np.ndarray]] = []
-    for (now, bucket), hashes in _runs(parts):
-        if now != shard:
-            shard, full, recent = now, [], []
-        against = [(earlier, bloom, hashes) for earlier, bloom, _ in recent]
-        for summary, members in full:
-            known = hashes[summary.might_contain(hashes)]
-            if len(known):
-                against += [(earlier, bloom, known) for earlier, bloom in members]
-        for earlier, bloom, some in against:
-            hit = some[bloom.might_contain(some)]
-            if len(hit):
-                yield pd.DataFrame({"_hash": hit, "_bucket": bucket, "_earlier": earlier})
-        bloom = BloomFilter(len(hashes))
-        bloom.add(hashes)
-        recent.append((bucket, bloom, hashes))
-        if len(recent) == GROUP:
-            summary = BloomFilter(sum(len(h) for _, _, h in recent))
-            for _, _, h in recent:
-                summary.add(h)
-            full.append((summary, [(b, f) for b, f, _ in recent]))
-            recent = []
+def _screened(batches: Iterator[pa.RecordBatch], n_ids: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a shard, by bucket, hash and identifier, with ``_again``: whether an earlier bucket has the identifier."""
+    storage = Buckets()
+    for batch in _runs(batches):
+        hashes = np.asarray(batch.column(1))
+        ids = batch.select(list(range(2, 2 + n_ids)))
+        again = np.zeros(len(hashes), dtype=bool)
+        for at, stored in storage.matching(hashes):
+            at = at[~again[at]]
+            again[at] = stored.has(ids, hashes, at)
+        storage.add(Stored.of(ids, hashes))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(again)], names=[*batch.schema.names, "_again"])
 
 
 def copies(df: DataFrame, ids: dict[str, Column], at_ms: Column, order: list[Column], bucket_ms: int, keep: list[str] = ()) -> DataFrame:
@@ -110,31 +162,30 @@ def copies(df: DataFrame, ids: dict[str, Column], at_ms: Column, order: list[Col
     for k in ids:
         rows = rows.filter(F.col(k).isNotNull())
     each = rows.groupBy(*ids, "_bucket").agg(F.count("*").alias("n"), *([F.min("_row").alias("_first")] if row else []))
-    # Always true: it keeps every use of these rows to one and the same shuffle, which Spark then makes once.
-    each = each.filter((F.col("n") > 0) & F.col("_first").isNotNull() if row else F.col("n") > 0)
     return each.withColumn("_hash", F.xxhash64(*ids))
 
 
-def repeats(each: DataFrame, ids: list[str], width: int | None = None) -> DataFrame:
-    """Identifiers that an earlier time bucket has too: the identifier and ``_bucket`` of the repeat.
+def shards_of(df: DataFrame) -> int:
+    """How many shards the identifiers of a frame make, by Spark's estimate of its bytes."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # Where nothing is known of the size, Spark takes the greatest.
+    return partitions(df.sparkSession) if size >= 1 << 62 else max(partitions(df.sparkSession), -(-size // SHARD_BYTES))
 
-    ``each`` is as from ``copies``. Storage is bucketed by identifier and time. Within an identifier shard, the time
-    buckets are passed in order, and a Bloom filter per bucket screens out the identifiers that are definitely new.
-    A possible repeat is looked up, exactly, in the earlier buckets whose filters have it and in no others.
-    Filters take ten bits an identifier and live in the task of their shard; nothing is collected or broadcast.
+
+def screened(each: DataFrame, ids: list[str], width: int | None = None) -> DataFrame:
+    """``each``, as from ``copies``, with ``_again``: whether an earlier time bucket has the identifier too.
+
+    Identifiers are stored in shards by hash, as many as their bytes need, and by time bucket within a shard. A shard is
+    one task: it passes the buckets in order, with a Bloom filter for each and summaries of these, which tell what is
+    definitely new. A possible repeat is looked up, exactly, in the stored buckets whose filters have it and in no
+    others. The rows move once, to their shard; nothing is collected, broadcast or joined.
     """
-    spark = each.sparkSession
-    shards = width or partitions(spark)
-    stored = each.select(*ids, "_bucket", "_hash")
-    screened = (
-        stored.select(F.pmod("_hash", F.lit(shards)).cast("int").alias("_shard"), "_bucket", "_hash")
-        .repartitionById(shards, F.col("_shard"))
-        .sortWithinPartitions("_shard", "_bucket")
-        .mapInPandas(_screen, "_hash bigint, _bucket bigint, _earlier bigint")
-    )
-    possible = stored.alias("s").join(screened.alias("c"), ["_hash", "_bucket"]).select(*[F.col(f"s.{i}") for i in ids], "_bucket", "_earlier")
-    earlier = stored.select(*ids, F.col("_bucket").alias("_earlier"))
-    return possible.join(earlier, [*ids, "_earlier"], "left_semi").select(*ids, "_bucket").distinct()
+    ship_package(each.sparkSession)
+    rows = each.select("_bucket", "_hash", *ids, *[c for c in each.columns if c not in ("_bucket", "_hash", *ids)])
+    shards = width or shards_of(each)
+    schema = T.StructType([*rows.schema.fields, T.StructField("_again", T.BooleanType())])
+    placed = rows.repartitionById(shards, F.pmod("_hash", F.lit(shards)).cast("int")).sortWithinPartitions("_bucket")
+    return placed.mapInArrow(lambda batches: _screened(batches, len(ids)), schema)
 
 
 def deduplicate(df: DataFrame, ids: dict[str, Column], at_ms: Column, order: list[Column], bucket_ms: int, keep: list[str]) -> DataFrame:
@@ -145,14 +196,12 @@ def deduplicate(df: DataFrame, ids: dict[str, Column], at_ms: Column, order: lis
     if set(ids) & set(keep):
         raise ValueError("keep must not name a part of the identifier")
     each = copies(df, ids, at_ms, order, bucket_ms, keep)
-    again = repeats(each, list(ids))
-    first = each.join(again, [*ids, "_bucket"], "left_anti")
-    return first.select(*ids, *[F.col(f"_first.{c}").alias(c) for c in keep])
+    each = each.select(*ids, "_bucket", "_hash", *[F.col(f"_first.{c}").alias(f"_k{i}") for i, c in enumerate(keep)])
+    first = screened(each, list(ids)).filter(~F.col("_again"))
+    return first.select(*ids, *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def redelivered(df: DataFrame, ids: dict[str, Column], at_ms: Column, bucket_ms: int) -> DataFrame:
     """Identifiers that more than one row has."""
     each = copies(df, ids, at_ms, [], bucket_ms)
-    inside = each.filter(F.col("n") > 1).select(*ids)
-    across = repeats(each, list(ids)).select(*ids)
-    return inside.unionByName(across).distinct()
+    return screened(each, list(ids)).filter(F.col("_again") | (F.col("n") > 1)).select(*ids).distinct()

@@ -258,6 +258,33 @@ def test_very_long_and_deep_lines(spark):
     assert rejects.rejected(raw(spark, cases).limit(0), ["raw_id"]).count() == 0
 
 
+def test_json_patterns_agree_with_the_exact_way(spark):
+    rng = random.Random(12)
+    times = ["1", "0", "-1", "01", "1.0", "1e3", "4102444800000", "4102444799999", "null", "true", '"2019-03-04T05:06:07Z"', '"2020-02-29t23:59:60.9999+23:59"', '"2019-02-29T00:00:00Z"', '"2099-12-31T23:59:59-00:01"',
+             '"1970-01-01 00:00:00.5-18:30"', '"2019-03-04T05:06:07+24:00"', '"20\\u00319-03-04T05:06:07Z"', '"x"', '""', "{}", "[1]"]
+    values = ["1", "-0.5e-3", "null", "true", '"a"', '"a\\"b"', '"\\ud83d"', "{}", '{"x": 1}', "[]", '"[{"', "NaN", "+1", ".5", '"é😀"']
+    names = ['"event_time"', '"x"', '"word"', '"user_id"', '"event_time "', '"\\u0078"', '"event_tim\\u0065"', '""']
+    space = lambda: "\u00a0" if rng.random() < 0.01 else rng.choice(["", "", "", " ", "\t\n"])
+    lines = []
+    for _ in range(6_000):
+        members = [(n, rng.choice(times if "time" in n else values)) for n in rng.choices(names, (5, 4, 3, 2, 1, 1, 1, 1), k=rng.randrange(5))]
+        line = space() + "{" + ",".join(f"{space()}{n}{space()}:{space()}{v}{space()}" for n, v in members) + "}" + space()
+        if rng.random() < 0.2:
+            at = rng.randrange(len(line))
+            line = line[:at] + rng.choice(["", ",", '"', "}", "\\", "{", ":"]) + line[at + rng.randrange(2) :]
+        lines.append(("jsonl", line))
+    got = {r.raw_id: r.reason for r in rejects.rejected(raw(spark, lines), ["raw_id"]).collect()}
+    wrong = [(line, got.get(i), rejects.json_reason(line)) for i, (_, line) in enumerate(lines) if got.get(i) != rejects.json_reason(line)]
+    assert not wrong, wrong[:5]
+    read = rejects.loaded(raw(spark, lines), ["raw_id"]).collect()
+    assert len(read) == len(lines) - len(got) > 200
+    for r in read:
+        _, at, word, x, user = rejects._json_row(lines[r.raw_id][1])
+        assert (r.event_ms, r.word, r.x, r.user_id) == (at, word, None if x is None else float(x), user), lines[r.raw_id]
+    flat = spark.createDataFrame([("{}",), ('{"event_time": 5, "x": "a"}',), ('{"event_time": "2019-02-29T00:00:00Z"',)], "l string")
+    assert [r[0] for r in flat.select(rejects.EVENT_JSON.reason(F.col("l"))[1]).collect()] == [False] * 3
+
+
 def test_number_pattern_is_exact():
     import re
 

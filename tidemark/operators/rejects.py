@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import ship_package
+
 #: Instants from 1970 up to the end of 2099, in ms (fixed values).
 FIRST_MS, END_MS = 0, 4_102_444_800_000
 
@@ -90,12 +92,67 @@ _DATE = (
 )
 _CLOCK = r"[Tt ](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]++)?(?:[Zz]|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])"
 _INSTANT = rf"(?:(?!0[0-9]){whole_up_to(END_MS - 1)}(?![0-9.eE])|\"{_DATE}{_CLOCK}\")"
-_MEMBER = (
-    rf'(?:"event_time"{_WS}:{_WS}{_INSTANT}|"x"{_WS}:{_WS}(?:null|{_NUMBER})'
-    rf'|"(?!event_time"|x")[^"\\\x00-\x1f]*+"{_WS}:{_WS}{_SCALAR}){_WS}'
-)
-#: A flat object whose event_time and x are valid.
-EVENT_JSON = rf'(?s)\A(?=.*"event_time"){_WS}\{{{_WS}{_MEMBER}(?:,{_WS}{_MEMBER})*+\}}{_WS}\z'
+_NAME = r'"(?!event_time"|x")[^"\\\x00-\x1f]*+"'
+_X = rf"(?:null|{_NUMBER})"
+_RFC_SHAPE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]++)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})"
+
+
+def _pair(name: str, value: str) -> str:
+    return rf"{name}{_WS}:{_WS}{value}{_WS}"
+
+
+def _list(member: str) -> str:
+    return rf"{member}(?:,{_WS}{member})*+"
+
+
+class JsonSchema:
+    """Anchored patterns for flat JSON objects with the members event_time and x: of the whole, and of growing parts of it.
+
+    ``whole`` is a valid row. ``flat`` is any flat object. ``once`` has each of the two members at most once, with plain
+    names; of these, the patterns of ``time`` and then ``x`` tell the first member that is broken.
+    """
+
+    _any = _pair(_TEXT, _SCALAR)
+    _valid = rf'(?:{_pair(chr(34) + "event_time" + chr(34), _INSTANT)}|{_pair(chr(34) + "x" + chr(34), _X)}|{_pair(_NAME, _SCALAR)})'
+    #: Members other than one of the two.
+    _but_time = rf'(?:{_pair(_NAME, _SCALAR)}|{_pair(chr(34) + "x" + chr(34), _SCALAR)})'
+    _but_x = rf'(?:{_pair(_NAME, _SCALAR)}|{_pair(chr(34) + "event_time" + chr(34), _SCALAR)})'
+
+    @staticmethod
+    def _object(body: str) -> str:
+        return rf"(?s)\A{_WS}\{{{_WS}{body}\}}{_WS}\z"
+
+    @classmethod
+    def _with(cls, name: str, value: str, others: str) -> str:
+        """An object with the member exactly once."""
+        return cls._object(rf'(?:{others},{_WS})*+{_pair(chr(34) + name + chr(34), value)}(?:,{_WS}{others})*+')
+
+    def __init__(self) -> None:
+        self.whole = r'(?s)\A(?=.*"event_time")' + self._object(_list(self._valid))[len("(?s)\\A") :]
+        self.flat = self._object(rf"(?:{_list(self._any)})?")
+        #: No bracket after the first: what is an object and has none is flat.
+        self.no_nesting = r"(?s)\A[^\[{]*+\{[^\[{]*+\z"
+        self.no_time, self.one_time = self._object(rf"(?:{_list(self._but_time)})?"), self._with("event_time", _SCALAR, self._but_time)
+        self.no_x, self.one_x = self._object(rf"(?:{_list(self._but_x)})?"), self._with("x", _SCALAR, self._but_x)
+        self.time = self._with("event_time", _INSTANT, self._but_time)
+        self.dated = self._with("event_time", f'"({_RFC_SHAPE})"', self._but_time)
+        self.escaped_time = self._with("event_time", r'"[^"\\]*+\\.*', self._but_time).replace(r"\}" + _WS + r"\z", "")
+        self.x = self._with("x", _X, self._but_x)
+
+    def reason(self, line: Column) -> tuple[Column, Column]:
+        """The reason of a line, null for a valid row, and whether the patterns cannot tell it.
+
+        They cannot where an object is nested, has a member twice, or spells a name or its time with escapes.
+        """
+        times, xs = line.rlike(self.no_time) | line.rlike(self.one_time), line.rlike(self.no_x) | line.rlike(self.one_x)
+        ms = rfc3339_ms(F.regexp_extract(line, self.dated, 1))
+        timed = line.rlike(self.time) | (line.rlike(self.dated) & F.coalesce((ms >= FIRST_MS) & (ms < END_MS), F.lit(False)))
+        told = line.rlike(self.no_nesting) & (~line.rlike(self.flat) | (times & xs & ~line.rlike(self.escaped_time)))
+        failing = F.when(~line.rlike(self.flat), "json").when(~timed, "event_time").when(line.rlike(self.one_x) & ~line.rlike(self.x), "x")
+        valid = line.rlike(self.whole)
+        reason = F.when(line.isNull(), "json").when(valid, F.lit(None).cast("string")).when(told, failing)
+        return reason, ~F.coalesce(valid | told, F.lit(True))
+
 
 _TOKEN = re.compile(
     r'[ \t\r\n]*(?:(?P<text>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")'
@@ -111,7 +168,7 @@ def strict_object(line: str) -> dict[str, tuple[str, str]] | None:
     """
     members: dict[str, tuple[str, str]] = {}
     stack: list[str] = []
-    key, want, at = "", "value", 0
+    key, want, at, since = "", "value", 0, 0
     while True:
         m = _TOKEN.match(line, at)
         if not m:
@@ -130,6 +187,7 @@ def strict_object(line: str) -> dict[str, tuple[str, str]] | None:
                 return None
             if len(stack) == 1:
                 members[key] = ({"{": "object", "[": "array"}.get(text, kind), text)
+                since = m.start(m.lastgroup)
             if kind == "mark":
                 stack.append(text)
                 want = "key or }" if text == "{" else "value or ]"
@@ -137,6 +195,8 @@ def strict_object(line: str) -> dict[str, tuple[str, str]] | None:
                 want = ", or end"
         elif kind == "mark" and text in "}]" and stack and stack[-1] == {"}": "{", "]": "["}[text] and want in (", or end", "key or }" if text == "}" else "value or ]"):
             stack.pop()
+            if len(stack) == 1:
+                members[key] = (members[key][0], line[since:at])
             want = ", or end" if stack else "end"
         elif want == ", or end" and kind == "mark" and text == ",":
             want = "key" if stack[-1] == "{" else "value"
@@ -178,61 +238,101 @@ def json_reason(line: str | None) -> str | None:
     return None if kind == "number" or text == "null" and kind == "word" else "x"
 
 
-@F.pandas_udf(T.StringType())
-def _json_reasons(lines: pd.Series) -> pd.Series:
-    return lines.map(json_reason, na_action="ignore")
+def _member_text(members: dict[str, tuple[str, str]], name: str) -> str | None:
+    kind, text = members.get(name, ("word", "null"))
+    # Half of a surrogate pair, which no text can hold, is a question mark, as in the JVM.
+    return None if (kind, text) == ("word", "null") else json.loads(text).encode("utf-8", "replace").decode() if kind == "text" else text
+
+
+def _json_row(line: str | None) -> tuple:
+    """The reason of a line, and for a valid one its event_ms, word, x and user_id."""
+    reason = json_reason(line)
+    if reason is not None:
+        return reason, None, None, None, None
+    members = strict_object(line)
+    return None, instant_ms(*members["event_time"]), *(_member_text(members, n) for n in ("word", "x", "user_id"))
+
+
+_READ = T.StructType([T.StructField(n, T.LongType() if n == "event_ms" else T.StringType()) for n in ("reason", "event_ms", "word", "x", "user_id")])
+
+
+@F.pandas_udf(_READ)
+def _json_rows(lines: pd.Series) -> pd.DataFrame:
+    rows = [(None,) * 5 if line is None else _json_row(line) for line in lines]
+    out = pd.DataFrame(rows, columns=["reason", "event_ms", "word", "x", "user_id"], dtype=object)
+    out["event_ms"] = out["event_ms"].astype("Int64")
+    return out
+
+
+def rfc3339_ms(text: Column) -> Column:
+    """ms of an RFC 3339 text, inside code generation; null for others. Second 60 is the start of the next minute."""
+    parts = r"(?s)\A([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]([01][0-9]|2[0-3]):([0-5][0-9]):([0-5][0-9]|60)(\.[0-9]+)?(?:[Zz]|([+-])([01][0-9]|2[0-3]):([0-5][0-9]))\z"
+    part = lambda n: F.regexp_extract(text, parts, n)
+    number = lambda n: F.coalesce(part(n).try_cast("bigint"), F.lit(0))
+    # Days and clock apart: the session's zone and Spark's bounds of offsets play no part.
+    days = F.datediff(part(1).try_cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    clock = ((number(2) * 60 + number(3)) * 60 + number(4)) * 1000 + F.coalesce(F.rpad(F.substring(part(5), 2, 3), 3, "0").try_cast("bigint"), F.lit(0))
+    offset = (number(7) * 60 + number(8)) * 60_000 * F.when(part(6) == "-", -1).otherwise(1)
+    return F.when(text.rlike(parts), days * 86_400_000 + clock - offset)
 
 
 def instant_column(text: Column) -> Column:
-    """ms of a valid instant, digits or RFC 3339, inside code generation; second 60 is the start of the next minute."""
-    stamp = F.translate(F.upper(text), " ", "T")
-    leap = stamp.rlike(r":60(?=[.Z+-])")
-    at = F.unix_millis(F.regexp_replace(stamp, r":60(?=[.Z+-])", ":59").try_cast("timestamp")) + F.when(leap, 1000).otherwise(0)
-    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint")).otherwise(at)
+    """ms of a valid instant, digits or RFC 3339, inside code generation."""
+    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint")).otherwise(rfc3339_ms(text))
+
 
+EVENT_JSON = JsonSchema()
 
-def _judged(df: DataFrame, keep: list[str], line: str, fmt: str) -> DataFrame:
-    """_keep (a struct), _line, _kind (csv, jsonl or null) and _reason, null for rows that load.
 
-    The reasons in their order: format; quoting, columns (csv); json (jsonl); event_time; x. Null lines fail with
-    columns or json. Anchored patterns made from the schema decide whole rows inside code generation. Only JSON lines
-    that the flat pattern does not accept (nested, odd or broken ones) are read in Python, exactly; for all other rows
-    Python gets a null.
+def read_lines(df: DataFrame, keep: list[str], line: str = "line", fmt: str = "format") -> DataFrame:
+    """Every row, judged once: the columns in ``keep``, the line, ``reason``, and event_ms, word, x, user_id.
+
+    ``reason`` is null for rows that load; the four values are null for those that fail. So one pass over the input, and
+    one write by ``reason``, gives both. The reasons in their order: format; quoting, columns (csv); json (jsonl);
+    event_time; x. Null lines fail with columns or json.
+
+    Anchored patterns made from the schema decide whole rows inside code generation, and growing ones name the first
+    broken field of the others. Only JSON lines that no pattern can tell, nested ones above all, are read in Python,
+    exactly; for all other rows Python gets a null. An empty CSV field is null for x and an empty string otherwise; a
+    JSON member that is missing or null is null.
     """
-    kind = F.lower(F.btrim(F.col(fmt)))
+    taken = {"reason", line, "event_ms", "word", "x", "user_id"}
+    if taken & set(keep):
+        raise ValueError(f"keep must not name any of {', '.join(sorted(taken))}")
+    ship_package(df.sparkSession)
+    kind = F.lower(F.btrim(F.col(f"`{fmt}`")))
     rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), F.col(line).alias("_line"), F.when(kind.isin("csv", "jsonl"), kind).alias("_kind")
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), F.col(f"`{line}`").alias("_line"), F.when(kind.isin("csv", "jsonl"), kind).alias("_kind")
+    )
+    text, csv = F.col("_line"), F.col("_kind") == "csv"
+    by_pattern, hard = EVENT_JSON.reason(text)
+    easy = F.when(F.col("_kind").isNull(), "format").when(csv, EVENT_CSV.reason(text)).otherwise(by_pattern)
+    rows = rows.withColumn("_easy", easy).withColumn("_hard", F.when((F.col("_kind") == "jsonl") & hard, text))
+    rows = rows.withColumn("_read", _json_rows("_hard"))
+    rows = rows.withColumn("_reason", F.coalesce("_easy", F.col("_read.reason")))
+    loads = F.col("_reason").isNull()
+    # Of members of one name, the last counts, here as in Python.
+    flat = F.when(loads & (F.col("_kind") == "jsonl") & F.col("_hard").isNull(), F.from_json(text, "event_time string, word string, x string, user_id string"))
+    rows = rows.withColumn("_flat", flat)
+    as_csv = {n: EVENT_CSV.field(text, n) for n in EVENT_CSV.names}
+    as_json = {n: F.coalesce(F.col(f"_flat.{n}"), F.col(f"_read.{n}")) for n in EVENT_CSV.names if n != "event_time"}
+    as_json["event_time"] = F.coalesce(F.col("_flat.event_time"), F.col("_read.event_ms").cast("string"))
+    return rows.select(
+        "_keep.*",
+        text.alias(line),
+        F.col("_reason").alias("reason"),
+        F.when(loads, instant_column(F.when(csv, as_csv["event_time"]).otherwise(as_json["event_time"]))).alias("event_ms"),
+        F.when(loads, F.when(csv, as_csv["word"]).otherwise(as_json["word"])).alias("word"),
+        F.when(loads, F.when(csv, F.nullif(as_csv["x"], F.lit(""))).otherwise(as_json["x"]).try_cast("double")).alias("x"),
+        F.when(loads, F.when(csv, as_csv["user_id"]).otherwise(as_json["user_id"])).alias("user_id"),
     )
-    text = F.col("_line")
-    unsure = (F.col("_kind") == "jsonl") & ~F.coalesce(text.rlike(EVENT_JSON), F.lit(False))
-    rows = rows.withColumn("_hard", F.when(unsure, F.coalesce(text, F.lit(""))))
-    easy = F.when(F.col("_kind").isNull(), "format").when(F.col("_kind") == "csv", EVENT_CSV.reason(text))
-    return rows.withColumn("_reason", F.coalesce(easy, _json_reasons("_hard"))).drop("_hard")
 
 
 def rejected(df: DataFrame, keep: list[str], line: str = "line", fmt: str = "format") -> DataFrame:
     """The rows that fail: the columns in ``keep``, the line, and ``reason``. No other columns are read."""
-    if {"reason", line} & set(keep):
-        raise ValueError(f"keep must not name reason or {line}")
-    return _judged(df, keep, line, fmt).filter(F.col("_reason").isNotNull()).select("_keep.*", F.col("_line").alias(line), F.col("_reason").alias("reason"))
+    return read_lines(df, keep, line, fmt).filter(F.col("reason").isNotNull()).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{line}`"), "reason")
 
 
 def loaded(df: DataFrame, keep: list[str], line: str = "line", fmt: str = "format") -> DataFrame:
-    """The rows that are valid: the columns in ``keep`` and event_ms, word, x, user_id.
-
-    An empty CSV field is null for x and an empty string otherwise; a JSON member that is missing or null is null.
-    """
-    if {"event_ms", "word", "x", "user_id"} & set(keep):
-        raise ValueError("keep must not name event_ms, word, x or user_id")
-    rows = _judged(df, keep, line, fmt).filter(F.col("_reason").isNull())
-    line = "_line"
-    text, csv = F.col(line), F.col("_kind") == "csv"
-    as_csv = {n: EVENT_CSV.field(text, n) for n in EVENT_CSV.names}
-    as_json = {n: F.get_json_object(text, f"$['{n}']") for n in EVENT_CSV.names}
-    return rows.select(
-        "_keep.*",
-        instant_column(F.when(csv, as_csv["event_time"]).otherwise(as_json["event_time"])).alias("event_ms"),
-        F.when(csv, as_csv["word"]).otherwise(as_json["word"]).alias("word"),
-        F.when(csv, F.nullif(as_csv["x"], F.lit(""))).otherwise(as_json["x"]).try_cast("double").alias("x"),
-        F.when(csv, as_csv["user_id"]).otherwise(as_json["user_id"]).alias("user_id"),
-    )
+    """The rows that are valid: the columns in ``keep`` and event_ms, word, x, user_id."""
+    return read_lines(df, keep, line, fmt).filter(F.col("reason").isNull()).select(*[F.col(f"`{c}`") for c in keep], "event_ms", "word", "x", "user_id")

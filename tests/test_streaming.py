@@ -114,6 +114,22 @@ def test_sessions_by_arrival(spark, tmp_path, run):
     assert shown(spark, "arrival") == [(50_000, 55_000, "k", 3)]
 
 
+def test_many_rows_of_a_key_in_a_batch_are_taken_by_arrival(spark, tmp_path, run):
+    # More rows than one Arrow batch holds, and they come in the opposite order.
+    feed = Feed(spark, tmp_path / "in")
+    query = run(arrival_sessions(feed.df, 10, "word", lateness_ms=10_000_000, order="n"), "many")
+    n = 50_000
+    lines = [json.dumps({"event_time": (datetime(1970, 1, 1) + timedelta(milliseconds=1 + i + 20 * (i >= n // 2))).isoformat(timespec="milliseconds"), "word": "k", "x": 0.0, "n": i}) for i in range(n)]
+    (tmp_path / "a.json").write_text("\n".join(reversed(lines)))
+    os.utime(tmp_path / "a.json", (1_700_000_000, 1_700_000_000))
+    (tmp_path / "a.json").rename(tmp_path / "in" / "a.json")
+    query.processAllAvailable()
+    feed.add((100_000_000, "z", 0.0))
+    feed.add((100_000_000, "z", 0.0))
+    query.processAllAvailable()
+    assert shown(spark, "many") == [(1, n // 2 + 10, "k", n // 2), (n // 2 + 21, n + 20 + 10, "k", n // 2)]
+
+
 def test_count_at_every_row_survives_a_restart(spark, tmp_path, run):
     feed = Feed(spark, tmp_path / "in")
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
@@ -146,9 +162,12 @@ def test_lines_to_parquet_with_metrics(spark, tmp_path):
         query.stop()
         assert [p.name for p in (tmp_path / "out").glob("dt=*")] == ["dt=2023-11-14"]
         for _ in range(50):
-            if "tidemark_operator_rows_total{" in metrics.render():
+            if "tidemark_bytes_written_total{" in metrics.render():
                 break
             time.sleep(0.1)
-        assert "tidemark_operator_rows_total{" in metrics.render()
+        text = metrics.render()
+        assert "tidemark_operator_rows_total{" in text and "tidemark_queue_depth{" in text
+        written = sum(float(line.split()[-1]) for line in text.splitlines() if line.startswith("tidemark_bytes_written_total{"))
+        assert written == len('{"event_time":1700000000000,"word":"a"}')
     finally:
         spark.streams.removeListener(listener)

@@ -11,19 +11,31 @@ from tidemark.functions.columns import epoch_ms, floor_div
 END_DAYS = 36_500
 
 
+def _carried(tops: DataFrame, group: int) -> DataFrame:
+    """For blocks with their greatest time, _block and _top: _b, the block, and _carry, the greatest of all blocks before."""
+    rows = tops.withColumn("_group", floor_div(F.col("_block"), group))
+    groups = rows.groupBy("_group").agg(F.max("_top").alias("_top"))
+    above = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    upper = groups.select(F.col("_group").alias("_g"), "_top").withColumn("_upper", F.max("_top").over(above)).drop("_top")
+    before = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_inside", F.max("_top").over(before))
+    out = inside.join(upper, F.col("_group").eqNullSafe(F.col("_g")))
+    return out.select(F.col("_block").alias("_b"), F.greatest("_inside", "_upper").alias("_carry"))
+
+
 def with_watermark_ms(df: DataFrame, order: Column, at: str = "event_time", lateness_ms: int = 0, block: int = 100_000) -> DataFrame:
     """``df`` with watermark_ms, the greatest time up to a row less the lateness, and prior_ms, the same before the row.
 
     ``order`` is the order of arrival, a whole number without ties. Rows with a null time advance nothing; before the
     first time both are null. Columns of these two names are replaced. The maximum runs within ``block`` consecutive order values and from the greatest of the
-    blocks before, which are one row each, so no task has to hold all rows.
+    blocks before. These are carried in two levels, so that the one task that orders all of the upper level has a row per
+    ``block`` times ``block`` rows.
     """
     kept = [c for c in df.columns if c not in ("watermark_ms", "prior_ms")]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), epoch_ms(df, at).alias("_ms"), order.cast("bigint").alias("_order"))
     rows = rows.withColumn("_block", floor_div(F.col("_order"), block))
     tops = rows.groupBy("_block").agg(F.max("_ms").alias("_top"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select(F.col("_block").alias("_b"), "_top").withColumn("_carry", F.max("_top").over(before)).drop("_top")
+    carried = _carried(tops, block)
     inside = Window.partitionBy("_block").orderBy("_order")
     rows = rows.withColumn("_now", F.max("_ms").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_prior", F.max("_ms").over(inside.rowsBetween(Window.unboundedPreceding, -1)))

@@ -10,8 +10,9 @@ from tidemark.functions.payload import decode_bytes, json_event_time, member_tex
 from tidemark.operators import arrival, fold, running, transforms, watermark
 from tidemark.operators.windows import Session, Sliding, Tumbling, bucket_start, windowed_aggregate
 from tidemark.plans.pipeline import Pipeline
-from tidemark.session import table
-from tidemark.sinks.files import ByDate, ByField, ParquetSink
+from tidemark.session import new_folder, table
+from tidemark.sinks.files import ByDate, ByField, ParquetSink, write_json_lines
+from tidemark.sources.files import read_csv, read_jsonl
 from tidemark.sources.kafka import decode_messages
 
 HOUR, MINUTE = 3_600_000, 60_000
@@ -62,8 +63,8 @@ def key_by(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wordcount_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the arriving rows with their final count per hour: split, key, count. The count at every row is wordcount_running."""
-    rows = table(spark, d, "input_rows").select(F.col("arrived_at").alias("event_time"), F.col("word").alias("text"))
+    """Words of the rows that have a time, with their final count per hour: split, key, count. The count at every row is wordcount_running."""
+    rows = table(spark, d, "input_rows").filter(F.col("event_time").isNotNull()).select("event_time", F.col("word").alias("text"))
     words = Pipeline(spark).source(rows).apply(transforms.split_words, "text").key_by("word").frame
     return words.withColumn("ms", bucket_start(epoch_ms(words, "event_time"), HOUR)).groupBy(F.col("ms").alias("window_start_ms"), "key").agg(F.count("*").alias("count"))
 
@@ -89,13 +90,11 @@ def json_field_agg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def null_as_zero_avg(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "input_rows")
-    rows = rows.select(F.col("arrived_at").alias("event_time"), "x", F.coalesce("user_id", F.lit("")).alias("user_id"))
-    return _shown(windowed_aggregate(rows, Tumbling(HOUR), "user_id", "avg", "x"), "avg")
+    return _shown(windowed_aggregate(table(spark, d, "input_rows"), Tumbling(HOUR), "user_id", "avg", "x"), "avg")
 
 
 def distinct_with_null(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "input_rows").select(F.col("arrived_at").alias("event_time"), "user_id", F.lit("all").alias("k"))
+    rows = table(spark, d, "input_rows").select("event_time", "user_id", F.lit("all").alias("k"))
     return windowed_aggregate(rows, Tumbling(HOUR), "k", "distinct", "user_id")
 
 
@@ -141,22 +140,59 @@ def parquet_field_layout(spark: SparkSession, d: str) -> DataFrame:
 
 def kafka_payload_time(spark: SparkSession, d: str) -> DataFrame:
     """The event time that the payloads give, by whole numbers, RFC 3339 texts, or the epoch."""
-    rows = table(spark, d, "kafka_records").select(json_event_time(F.col("payload"), "event_time").alias("t"), "batch_id")
-    return rows.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum((F.unix_millis("t") != 0).cast("bigint")).alias("timed"), F.max(F.unix_millis("t")).alias("last_ms"))
+    return table(spark, d, "kafka_records").select("batch_id", "payload", F.unix_millis(json_event_time(F.col("payload"), "event_time")).alias("event_ms"))
 
 
 def kafka_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Each record's payload as a message of text, and behind four bytes that are no text; what the decoded payloads hold."""
+    value = F.encode(F.col("payload"), "UTF-8")
     rows = table(spark, d, "kafka_records").select(
-        F.encode(F.col("payload"), "UTF-8").alias("value"), F.coalesce("_topic", F.lit("t")).alias("topic"),
-        F.coalesce("_partition", F.lit(0)).alias("partition"), F.coalesce("_offset", F.lit(0)).alias("offset"),
+        F.explode(F.array(value, F.concat(F.unhex(F.lit("009F9296")), value))).alias("value"),
+        F.col("_topic").alias("topic"), F.col("_partition").alias("partition"), F.col("_offset").alias("offset"),
+    )
+    out = decode_messages(rows, "event_time")
+    held = {n: member_text(F.col("payload"), n) for n in ("bytes", "bytes_b64", "_topic", "_partition", "_offset")}
+    return out.select(
+        F.unix_millis("event_time").alias("event_ms"), "_topic", "_partition", "_offset", held["bytes"].alias("bytes"), F.regexp_replace(held["bytes_b64"], r"\s", "").alias("bytes_b64"),
+        held["_topic"].alias("held_topic"), held["_partition"].alias("held_partition"), held["_offset"].alias("held_offset"),
     )
-    return decode_messages(rows, "event_time").select(F.unix_millis("event_time").alias("event_ms"), "payload", "_topic", "_partition", "_offset")
 
 
 def payload_bytes(spark: SparkSession, d: str) -> DataFrame:
     """Lines of any kind as message bytes: JSON as it is, all else wrapped."""
     rows = table(spark, d, "raw_lines").select("raw_id", decode_bytes(F.encode(F.col("line"), "UTF-8")).alias("payload"))
-    return rows.select("raw_id", F.get_json_object("payload", "$.bytes").isNotNull().alias("wrapped"))
+    wrapped = F.get_json_object("payload", "$.bytes")
+    return rows.select("raw_id", wrapped.isNotNull().alias("wrapped"), wrapped.alias("bytes"))
+
+
+def _folder(spark: SparkSession, d: str, name: str, write) -> str:
+    """A new folder that ``write`` has filled, in the shared folder of the session."""
+    path = new_folder(spark, name)
+    write(path)
+    return path
+
+
+def jsonl_source(spark: SparkSession, d: str) -> DataFrame:
+    """The events written as JSON lines by the sink, and read back by the source."""
+    rows = _events(spark, d).select("event_time", "event_id", "value", "props", epoch_ms(_events(spark, d), "event_time").alias("at"))
+    path = _folder(spark, d, "jsonl", lambda p: write_json_lines(rows, p))
+    out = read_jsonl(spark, path, "at")
+    return out.select(*[member_text(F.col("payload"), n).alias(n) for n in ("event_id", "props")], F.unix_millis("event_time").alias("event_ms"))
+
+
+def csv_source(spark: SparkSession, d: str) -> DataFrame:
+    """The events as CSV with a header, and read back by the source."""
+    rows = _events(spark, d).select("event_id", "event_type", "props", epoch_ms(_events(spark, d), "event_time").alias("at"))
+    path = _folder(spark, d, "csv", lambda p: rows.write.option("header", True).option("escape", '"').csv(p))
+    return read_csv(spark, path, "at").select("event_id", "event_type", "props", F.unix_millis("event_time").alias("event_ms"))
+
+
+def parquet_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The events written by the Parquet sink, by day, and read back."""
+    rows = _events(spark, d).select("event_time", "event_id", "user_id")
+    path = _folder(spark, d, "parquet", lambda p: ParquetSink(p, max_rows=1000, codec="zstd").write(rows))
+    back = spark.read.schema("event_time timestamp_ntz, payload string, dt string").parquet(path)
+    return back.select("payload", "dt", epoch_ms(back, "event_time").alias("event_ms"))
 
 
 def arrival_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +223,7 @@ QUERIES = {f"{kind}_{agg}": _windowed(kind, agg) for kind in WINDOWS for agg in
     sliding_nondivisible, sliding_slide_gt_size, running_count, map_explode_words, filter_pred, key_by, wordcount_pipeline, wordcount_running,
     sliding_avg_pipeline, json_field_agg, null_as_zero_avg, distinct_with_null, watermark_running, late_drop_record,
     end_of_input, fold_sum, fold_merge_sliding, parquet_sink_layout, parquet_field_layout, kafka_payload_time, kafka_decode,
-    payload_bytes, arrival_sessions, arrival_sessions_shuffled, lineitem_monthly, orders_sliding,
+    payload_bytes, jsonl_source, csv_source, parquet_sink, arrival_sessions, arrival_sessions_shuffled, lineitem_monthly, orders_sliding,
 )}
 
 _MS = "(epoch_us({0}) // 1000)"
@@ -227,6 +263,8 @@ _JSON_TIME = """CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT'
          WHEN json_type(payload, '$.event_time') = 'VARCHAR'
               AND regexp_full_match(json_extract_string(payload, '$.event_time'), '[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})')
          THEN epoch_us(TRY_CAST(json_extract_string(payload, '$.event_time') AS TIMESTAMPTZ)) // 1000 END END"""
+_TIMED = "(SELECT * FROM input_rows WHERE event_time IS NOT NULL)"
+_VALID = "(json_valid(line) AND NOT regexp_matches(line, ',[ ]*[}\\]]'))"
 _SPACE = "[ \\t\\n\\r\\f\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 
 
@@ -244,15 +282,15 @@ ORACLES = {f"{kind}_{agg}": _windowed_sql(kind, agg) for kind in WINDOWS for agg
     "running_count": f"""SELECT event_id AS arrival, {_MS.format('ts')} // {HOUR} * {HOUR} AS window_start_ms, event_type AS key,
         count(*) OVER (PARTITION BY {_MS.format('ts')} // {HOUR}, event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS count FROM events""",
     "map_explode_words": f"""SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '{_SPACE}')) AS word FROM documents WHERE text IS NOT NULL)
-        WHERE regexp_full_match(word, '[ -~]+') GROUP BY word""",
+        WHERE word <> '' GROUP BY word""",
     "filter_pred": "SELECT event_id, user_id, value FROM events WHERE value > 50 AND event_type = 'purchase'",
     "key_by": "SELECT event_id, event_type AS key FROM events",
-    "wordcount_pipeline": f"""SELECT {_MS.format('arrived_at')} // {HOUR} * {HOUR} AS window_start_ms, key, count(*) AS count
-        FROM (SELECT arrived_at, unnest(string_split_regex(lower(word), '{_SPACE}')) AS key FROM input_rows) WHERE key <> '' GROUP BY 1, 2""",
+    "wordcount_pipeline": f"""SELECT {_MS.format('event_time')} // {HOUR} * {HOUR} AS window_start_ms, key, count(*) AS count
+        FROM (SELECT event_time, unnest(string_split_regex(lower(word), '{_SPACE}')) AS key FROM input_rows WHERE event_time IS NOT NULL) WHERE key <> '' GROUP BY 1, 2""",
     "sliding_avg_pipeline": _sliding(5 * MINUTE, MINUTE, "user_id", "round(avg(value), 6) AS avg"),
     "json_field_agg": _tumbling(HOUR, "event_type", "round(sum(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0)), 6) AS sum"),
-    "null_as_zero_avg": _tumbling(HOUR, "coalesce(user_id, '')", "round(avg(coalesce(x, 0)), 6) AS avg", "input_rows", "arrived_at"),
-    "distinct_with_null": _tumbling(HOUR, "'all'", "count(DISTINCT coalesce(user_id, 'null')) AS distinct_count", "input_rows", "arrived_at"),
+    "null_as_zero_avg": _tumbling(HOUR, "user_id", "round(avg(coalesce(x, 0)), 6) AS avg", _TIMED, "event_time"),
+    "distinct_with_null": _tumbling(HOUR, "'all'", "count(DISTINCT coalesce(user_id, 'null')) AS distinct_count", _TIMED, "event_time"),
     "watermark_running": f"SELECT event_id, max({_MS.format('ts')}) OVER (ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) - {MINUTE} AS watermark_ms FROM events",
     "late_drop_record": f"""SELECT event_id FROM (SELECT event_id, {_MS.format('ts')} AS ms,
         max({_MS.format('ts')}) OVER (ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {2 * HOUR} AS prior FROM events) WHERE prior IS NULL OR ms >= prior""",
@@ -261,9 +299,17 @@ ORACLES = {f"{kind}_{agg}": _windowed_sql(kind, agg) for kind in WINDOWS for agg
     "fold_merge_sliding": f"SELECT window_start_ms, window_end_ms, state FROM ({_sliding(HOUR, HOUR // 4, '0', 'round(sum(value), 6) AS state')})",
     "parquet_sink_layout": """SELECT '{"event_id":' || event_id || ',"user_id":' || user_id || '}' AS payload, strftime(ts, '%Y-%m-%dT%H') AS dt FROM events""",
     "parquet_field_layout": "SELECT coalesce(json_extract_string(props, '$.k'), '') AS dt, count(*) AS n FROM events GROUP BY 1",
-    "kafka_payload_time": f"""SELECT batch_id, count(*) AS n, CAST(sum(CASE WHEN coalesce({_JSON_TIME}, 0) <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS timed, max(coalesce({_JSON_TIME}, 0)) AS last_ms
-        FROM kafka_records GROUP BY batch_id""",
-    "payload_bytes": "SELECT raw_id, NOT json_valid(line) OR regexp_matches(line, ',[ ]*[}\\]]') AS wrapped FROM raw_lines",
+    "kafka_payload_time": f"SELECT batch_id, payload, coalesce({_JSON_TIME}, 0) AS event_ms FROM kafka_records",
+    "kafka_decode": f"""WITH r AS (SELECT *, {_VALID} AS valid FROM (SELECT *, payload AS line FROM kafka_records)), o AS (SELECT *, valid AND json_type(CASE WHEN valid THEN payload END) = 'OBJECT' AS obj FROM r)
+        SELECT coalesce({_JSON_TIME}, 0) AS event_ms, _topic, _partition, _offset, CASE WHEN NOT valid THEN payload WHEN obj THEN json_extract_string(payload, '$.bytes') END AS bytes, CASE WHEN obj THEN json_extract_string(payload, '$.bytes_b64') END AS bytes_b64,
+               CASE WHEN payload IS NOT NULL AND coalesce(obj, true) AND valid THEN _topic END AS held_topic, CASE WHEN obj THEN CAST(_partition AS VARCHAR) END AS held_partition,
+               CASE WHEN obj THEN CAST(_offset AS VARCHAR) END AS held_offset FROM o
+        UNION ALL SELECT 0, _topic, _partition, _offset, NULL, to_base64('\\x00\\x9F\\x92\\x96'::BLOB || encode(payload)), CASE WHEN payload IS NOT NULL THEN _topic END,
+               CASE WHEN payload IS NOT NULL THEN CAST(_partition AS VARCHAR) END, CASE WHEN payload IS NOT NULL THEN CAST(_offset AS VARCHAR) END FROM kafka_records""",
+    "payload_bytes": f"SELECT raw_id, NOT {_VALID} AS wrapped, CASE WHEN NOT {_VALID} THEN line END AS bytes FROM raw_lines",
+    "jsonl_source": f"SELECT CAST(event_id AS VARCHAR) AS event_id, props, {_MS.format('ts')} AS event_ms FROM events",
+    "csv_source": f"SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, props, {_MS.format('ts')} AS event_ms FROM events",
+    "parquet_sink": f"""SELECT '{{"event_id":' || event_id || ',"user_id":' || user_id || '}}' AS payload, strftime(ts, '%Y-%m-%d') AS dt, {_MS.format('ts')} AS event_ms FROM events""",
     "arrival_sessions": _arrival("event_id"),
     "arrival_sessions_shuffled": _arrival("(event_id - event_id % 8 + (7 - event_id % 8))"),
     "lineitem_monthly": _tumbling(30 * 24 * HOUR, "l_returnflag", "round(sum(l_quantity), 6) AS sum", "lineitem", "l_shipdate"),

@@ -143,14 +143,17 @@ def build(spark: SparkSession, cfg: PipelineConfig, emit_time: str = "watermark"
         mark = end_watermark(_read(spark, cfg))
         return out.crossJoin(F.broadcast(mark)).select(F.col("watermark").alias("event_time"), "payload")  # one row
 
+    # Offsets are committed with each batch of a stream, so the commit interval is the longest time between two.
+    commit = parse_duration_ms(cfg.source.commit_interval) if cfg.source.commit_interval else None
+    every = {"processingTime": f"{commit} milliseconds"} if commit else {"processingTime": "0 seconds"}
     if k.kind == "parquet":
         by_date = k.partition_field in (None, "event_time")
         spec = ByDate(fmt=k.partition_format or "%Y-%m-%d") if by_date else ByField(k.partition_field)
-        age = parse_duration_ms(k.max_age) if k.max_age else 300_000
+        age = min(parse_duration_ms(k.max_age) if k.max_age else 300_000, commit or 300_000)
         sink = ParquetSink(k.out_dir, spec, k.max_rows or 1_000_000, age, k.max_bytes, k.compression)
         return pipeline.sink(lambda df: sink.start(timed(df), checkpoint) if df.isStreaming else sink.write(timed(df)))
     if k.kind == "file":
         if result.isStreaming:
-            return pipeline.sink(lambda df: as_output(df).select("payload").writeStream.format("text").option("path", k.path).option("checkpointLocation", checkpoint).start())
+            return pipeline.sink(lambda df: as_output(df).select("payload").writeStream.format("text").option("path", k.path).option("checkpointLocation", checkpoint).trigger(**every).start())
         return pipeline.sink(lambda df: write_json_lines(as_output(df).select(F.lit(None).cast("timestamp").alias("event_time"), "payload"), k.path))
-    return pipeline.sink(lambda df: write_kafka(timed(df), k.bootstrap_servers, k.topic, None, k.acks or "all", checkpoint))
+    return pipeline.sink(lambda df: write_kafka(timed(df), k.bootstrap_servers, k.topic, None, k.acks or "all", checkpoint, every))

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,6 +34,21 @@ def build_session(master: str = "local[*]", app: str = "tidemark", **conf: objec
     return builder.getOrCreate()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that is not there yet, for tables that a job writes and reads again.
+
+    It is within the shared folder that the cluster names in spark.checkpoint.dir; only a session on one machine that
+    has no such setting, as in tests, takes a temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; it has to name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _shipped: set[str] = set()
 
 

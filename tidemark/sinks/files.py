@@ -90,13 +90,13 @@ class ParquetSink:
     def write(self, df: DataFrame, mode: str = "append") -> None:
         """Writes a batch. Empty and null partition values go to the default partition's folder."""
         rows = self.layout(df)
-        each = rows.agg(F.avg(F.length("payload"))).first()[0] if self.max_bytes else None
+        each = rows.agg(F.avg(F.octet_length("payload"))).first()[0] if self.max_bytes else None
         writer = rows.write.mode(mode).partitionBy("dt").option("compression", compression(self.codec))
         writer.option("maxRecordsPerFile", self.rows_a_file(each)).parquet(self.path)
 
     def start(self, df: DataFrame, checkpoint: str):
         """Writes a stream; each batch closes its files, so ``max_age_ms`` is the time between batches."""
-        rows = self.layout(df)
+        rows = self.layout(df).observe("written", F.sum(F.octet_length("payload")).alias("bytes"))
         writer = rows.writeStream.format("parquet").partitionBy("dt").option("path", self.path).option("checkpointLocation", checkpoint)
         writer = writer.option("compression", compression(self.codec)).option("maxRecordsPerFile", self.max_rows)
         return (writer.trigger(processingTime=f"{self.max_age_ms} milliseconds") if self.max_age_ms else writer).start()

@@ -19,10 +19,11 @@ def messages(df: DataFrame, key_field: str | None = None) -> DataFrame:
     return rows.select(key.alias("key"), F.col("payload").alias("value"))
 
 
-def write_kafka(df: DataFrame, brokers: str, topic: str, key_field: str | None = None, acks: str = "all", checkpoint: str | None = None):
+def write_kafka(df: DataFrame, brokers: str, topic: str, key_field: str | None = None, acks: str = "all", checkpoint: str | None = None, trigger: dict[str, str] | None = None):
     """Sends a batch, or starts a stream with ``checkpoint``. Needs Spark's Kafka connector on the class path."""
     out = messages(df, key_field)
     options = {"kafka.bootstrap.servers": brokers, "topic": topic, "kafka.acks": acks}
     if df.isStreaming:
-        return out.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).start()
+        writer = out.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint)
+        return (writer.trigger(**trigger) if trigger else writer).start()
     return out.write.format("kafka").options(**options).save()

@@ -25,13 +25,17 @@ def csv_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
 
 
-def read_csv(spark: SparkSession, path: str, time_field: str, stream: bool = False, columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, time_field: str, stream: bool = False, columns: list[str] | None = None, multi_line: bool | None = None) -> DataFrame:
     """event_time and all columns, as strings, of CSV files with a header; a row of another length ends the run.
 
     Empty fields are empty strings. A time that is no whole number of epoch ms, or a missing column, is the epoch.
-    A column that is itself called event_time becomes the event time. Where no quoted field holds a line end,
-    ``multi_line=False`` lets Spark split large files; otherwise each file is one task's.
+    A column that is itself called event_time becomes the event time. Large files are split, unless a quoted field holds
+    a line end (``multi_line``), when each file is one task's; None looks for such fields, in one pass over the lines of
+    a batch. A stream is taken to have some.
     """
+    if multi_line is None:
+        # A quoted field that goes on in the next line leaves an odd number of quotes.
+        multi_line = stream or not spark.read.text(path).filter((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
     names = columns or csv_columns(spark, path)
     schema = ", ".join(f"`{n}` string" for n in names)
     reader = spark.readStream if stream else spark.read

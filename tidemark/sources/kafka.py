@@ -13,13 +13,14 @@ def starting_offsets(auto_offset_reset: str) -> str:
     return "earliest" if auto_offset_reset.lower() == "earliest" else "latest"
 
 
-def read_kafka(spark: SparkSession, brokers: str, topic: str, time_field: str, group: str | None = None, auto_offset_reset: str = "latest", per_trigger: int | None = None) -> DataFrame:
+def read_kafka(spark: SparkSession, brokers: str, topic: str, time_field: str, group: str | None = None, auto_offset_reset: str = "latest", per_trigger: int | None = None, fail_on_data_loss: bool = True) -> DataFrame:
     """A stream of decoded messages. Offsets are kept in the query's checkpoint; ``per_trigger`` bounds a batch.
 
+    Offsets that expired before they were read end the query, unless ``fail_on_data_loss`` is false.
     Needs Spark's Kafka connector on the class path.
     """
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic)
-    reader = reader.option("startingOffsets", starting_offsets(auto_offset_reset)).option("failOnDataLoss", "false")
+    reader = reader.option("startingOffsets", starting_offsets(auto_offset_reset)).option("failOnDataLoss", str(fail_on_data_loss).lower())
     if group:
         reader = reader.option("kafka.group.id", group)
     if per_trigger:
@@ -35,7 +36,7 @@ def decode_messages(messages: DataFrame, time_field: str) -> DataFrame:
     """
     body = messages.select(decode_bytes(F.col("value")).alias("_p"), F.col("topic").alias("_topic"), F.col("partition").alias("_partition"), F.col("offset").alias("_offset"))
     names = ["_offset", "_partition", "_topic"]
-    position = F.regexp_replace(F.to_json(F.struct(*names)), r"^\{", "")
+    position = F.regexp_replace(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), r"^\{", "")
     inner = F.btrim(F.regexp_replace("_p", r"(?s)^\s*\{|\}\s*$", ""))
     added = F.concat(F.lit("{"), F.when(inner != "", F.concat(inner, F.lit(","))).otherwise(""), position)
     # An object that has such a field already loses it.

@@ -18,7 +18,7 @@ SERIES = {
     "tidemark_state_rows": ("gauge", "Rows held in state"),
     "tidemark_operator_latency_ms": ("histogram", "Time of an operator's batch"),
     "tidemark_sink_latency_ms": ("histogram", "Time of a sink's batch"),
-    "tidemark_queue_depth": ("gauge", "Rows offered but not taken"),
+    "tidemark_queue_depth": ("gauge", "Offsets or files offered but not taken"),
     "tidemark_late_rows_total": ("counter", "Rows dropped behind the watermark"),
 }
 
@@ -88,6 +88,12 @@ class ProgressListener(StreamingQueryListener):
         states = progress.stateOperators or []
         m.set("tidemark_state_rows", sum(s.numRowsTotal for s in states), operator=name)
         m.add("tidemark_late_rows_total", sum(s.numRowsDroppedByWatermark for s in states), operator=name)
+        for seen in dict(progress.observedMetrics or {}).values():
+            if "bytes" in seen:
+                m.add("tidemark_bytes_written_total", seen["bytes"] or 0, sink=name)
+        # What a source has and the query has not taken yet, where the source tells: offsets of Kafka, else files.
+        waiting = [dict(s.metrics or {}) for s in progress.sources or []]
+        m.set("tidemark_queue_depth", sum(float(w.get("maxOffsetsBehindLatest", w.get("numFilesOutstanding", 0))) for w in waiting), operator=name)
         mark = dict(progress.eventTime or {}).get("watermark")
         if mark:
             at, now = (datetime.fromisoformat(t.replace("Z", "+00:00")) for t in (mark, progress.timestamp))

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.columns import epoch_ms
 from tidemark.operators.windows import Sliding, Tumbling
+from tidemark.session import ship_package
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,6 +40,13 @@ def starts_of(ms: int, window: Tumbling | Sliding) -> list[int]:
     return [s for s in starts if s <= ms < s + window.size_ms]
 
 
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a key in a batch by arrival. They come in parts, of which each would be in order only by itself."""
+    parts = [part for part in rows if len(part)]
+    if parts:
+        yield pd.concat(parts).sort_values("arrival", kind="stable")
+
+
 class _Windows(StatefulProcessor):
     """A fold per key and window; rows behind the watermark on arrival are dropped one by one."""
 
@@ -51,8 +59,8 @@ class _Windows(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         behind = timerValues.getCurrentWatermarkInMs()
-        for part in rows:
-            for ms, value in part.sort_values("arrival")[["ms", "value"]].itertuples(index=False):
+        for part in _in_order(rows):
+            for ms, value in part[["ms", "value"]].itertuples(index=False):
                 if ms <= behind:
                     continue
                 for start in starts_of(int(ms), self.window):
@@ -87,8 +95,8 @@ class _ArrivalSessions(StatefulProcessor):
         behind = timerValues.getCurrentWatermarkInMs()
         held = self.now.get() if self.now.exists() else None
         out = []
-        for part in rows:
-            for ms in part.sort_values("arrival")["ms"]:
+        for part in _in_order(rows):
+            for ms in part["ms"]:
                 ms = int(ms)
                 if ms <= behind:
                     continue
@@ -124,9 +132,9 @@ class _RunningCount(StatefulProcessor):
         self.counts = handle.getMapState("counts", "start bigint", "n bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for part in rows:
+        for part in _in_order(rows):
             out = []
-            for ms in part.sort_values("arrival")["ms"]:
+            for ms in part["ms"]:
                 start = _truncated(int(ms), self.size)
                 n = (self.counts.getValue((start,))[0] if self.counts.containsKey((start,)) else 0) + 1
                 self.counts.updateValue((start,), (n,))
@@ -138,6 +146,7 @@ class _RunningCount(StatefulProcessor):
 
 
 def _input(df: DataFrame, key: str, at: str, lateness_ms: int, value: str | None, order: str | None) -> DataFrame:
+    ship_package(df.sparkSession)
     rows = df.select(
         F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")).alias("key"), epoch_ms(df, at).alias("ms"),
         (F.col(value) if value else F.lit(1)).alias("value"), (F.col(order) if order else epoch_ms(df, at)).alias("arrival"),
@@ -151,7 +160,8 @@ def strict_windows(df: DataFrame, window: Tumbling | Sliding, key: str, init: An
     """A fold per window and key of a stream: window_start_ms, window_end_ms, key, state.
 
     A row is dropped if it is behind the watermark of its batch, even where its window is still open. Windows close,
-    and free their state, when the watermark passes their end. A null key is the key ``null``.
+    and free their state, when the watermark passes their end. A null key is the key ``null``. Rows are folded by
+    ``order``, by event time where none is given; those of a key in one batch are ordered in memory.
     """
     rows = _input(df, key, at, lateness_ms, value, order)
     return rows.groupBy("key").transformWithStateInPandas(
@@ -160,8 +170,11 @@ def strict_windows(df: DataFrame, window: Tumbling | Sliding, key: str, init: An
     )
 
 
-def arrival_sessions(df: DataFrame, gap_ms: int, key: str, at: str = "event_time", lateness_ms: int = 0, order: str | None = None) -> DataFrame:
-    """Sessions of a stream that depend on the order of arrival: window_start_ms, window_end_ms, key, count."""
+def arrival_sessions(df: DataFrame, gap_ms: int, key: str, order: str, at: str = "event_time", lateness_ms: int = 0) -> DataFrame:
+    """Sessions of a stream that depend on the order of arrival: window_start_ms, window_end_ms, key, count.
+
+    ``order`` is the column with the order of arrival, such as an offset. The rows of a key in one batch are ordered in memory.
+    """
     rows = _input(df, key, at, lateness_ms, None, order)
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_ArrivalSessions(gap_ms), outputStructType="window_start_ms bigint, window_end_ms bigint, key string, count bigint",

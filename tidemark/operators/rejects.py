@@ -6,6 +6,7 @@ import json
 import re
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,9 @@ _X = rf"(?:null|{_NUMBER})"
 _RFC_SHAPE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]++)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})"
 
 
+UNTOLD = "?"
+
+
 def _pair(name: str, value: str) -> str:
     return rf"{name}{_WS}:{_WS}{value}{_WS}"
 
@@ -139,8 +143,8 @@ class JsonSchema:
         self.escaped_time = self._with("event_time", r'"[^"\\]*+\\.*', self._but_time).replace(r"\}" + _WS + r"\z", "")
         self.x = self._with("x", _X, self._but_x)
 
-    def reason(self, line: Column) -> tuple[Column, Column]:
-        """The reason of a line, null for a valid row, and whether the patterns cannot tell it.
+    def reason(self, line: Column) -> Column:
+        """The reason of a line, empty for a valid row, and UNTOLD where the patterns cannot tell it.
 
         They cannot where an object is nested, has a member twice, or spells a name or its time with escapes.
         """
@@ -150,8 +154,7 @@ class JsonSchema:
         told = line.rlike(self.no_nesting) & (~line.rlike(self.flat) | (times & xs & ~line.rlike(self.escaped_time)))
         failing = F.when(~line.rlike(self.flat), "json").when(~timed, "event_time").when(line.rlike(self.one_x) & ~line.rlike(self.x), "x")
         valid = line.rlike(self.whole)
-        reason = F.when(line.isNull(), "json").when(valid, F.lit(None).cast("string")).when(told, failing)
-        return reason, ~F.coalesce(valid | told, F.lit(True))
+        return F.when(line.isNull(), "json").when(valid, "").when(told, F.coalesce(failing, F.lit(""))).otherwise(UNTOLD)
 
 
 _TOKEN = re.compile(
@@ -258,10 +261,14 @@ _READ = T.StructType([T.StructField(n, T.LongType() if n == "event_ms" else T.St
 
 @F.pandas_udf(_READ)
 def _json_rows(lines: pd.Series) -> pd.DataFrame:
-    rows = [(None,) * 5 if line is None else _json_row(line) for line in lines]
-    out = pd.DataFrame(rows, columns=["reason", "event_ms", "word", "x", "user_id"], dtype=object)
-    out["event_ms"] = out["event_ms"].astype("Int64")
-    return out
+    some = np.flatnonzero(lines.notna())
+    read = list(zip(*[_json_row(line) for line in lines.iloc[some]])) or [()] * len(_READ)
+    out = {}
+    for field, values in zip(_READ, read):
+        out[field.name] = np.full(len(lines), None, dtype=object)
+        out[field.name][some] = values
+    out["event_ms"] = pd.array(out["event_ms"], dtype="Int64")
+    return pd.DataFrame(out)
 
 
 def rfc3339_ms(text: Column) -> Column:
@@ -305,11 +312,13 @@ def read_lines(df: DataFrame, keep: list[str], line: str = "line", fmt: str = "f
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), F.col(f"`{line}`").alias("_line"), F.when(kind.isin("csv", "jsonl"), kind).alias("_kind")
     )
     text, csv = F.col("_line"), F.col("_kind") == "csv"
-    by_pattern, hard = EVENT_JSON.reason(text)
-    easy = F.when(F.col("_kind").isNull(), "format").when(csv, EVENT_CSV.reason(text)).otherwise(by_pattern)
-    rows = rows.withColumn("_easy", easy).withColumn("_hard", F.when((F.col("_kind") == "jsonl") & hard, text))
+    # As texts, numbers stay as they are spelt, which Spark's parser would change for these.
+    spelt = F.coalesce(text.rlike(rf'"(?:word|user_id)"{_WS}:{_WS}(?:-?[0-9]++[.eE]|-0)'), F.lit(False))
+    easy = F.when(F.col("_kind").isNull(), "format").when(csv, EVENT_CSV.reason(text)).when(spelt, UNTOLD).otherwise(EVENT_JSON.reason(text))
+    # Told once; what follows refers to it.
+    rows = rows.withColumn("_told", easy).withColumn("_hard", F.when(F.col("_told") == UNTOLD, text))
     rows = rows.withColumn("_read", _json_rows("_hard"))
-    rows = rows.withColumn("_reason", F.coalesce("_easy", F.col("_read.reason")))
+    rows = rows.withColumn("_reason", F.when(F.col("_told") == UNTOLD, F.col("_read.reason")).otherwise(F.nullif("_told", F.lit(""))))
     loads = F.col("_reason").isNull()
     # Of members of one name, the last counts, here as in Python.
     flat = F.when(loads & (F.col("_kind") == "jsonl") & F.col("_hard").isNull(), F.from_json(text, "event_time string, word string, x string, user_id string"))

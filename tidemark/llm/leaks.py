@@ -31,8 +31,9 @@ RANK, EXTRA, OWN, OWN_WEIGHT, SEED = 48, 8, 16, 0.5, 20_190_304
 #: The index: hyperplanes for equal passages; tables of cells for near ones, each of POLY_TURNS greatest coordinates
 #: out of POLY.
 PLANES, TABLES, POLY_TURNS, POLY = 64, 6, 4, 48
-#: Bits of the filter by which documents are held against the index before anything moves: 16 MB at most.
-FILTER_BITS = (16, 27)
+#: Bits of the filters by which documents are held against items before anything moves, 16 MB at most, and the bits of a
+#: code from which its places in a filter are read.
+FILTER_BITS, PROBES = (16, 27), (0, 18, 36)
 #: Bytes of text, and candidates, that a task works on at a time.
 AT_ONCE, CHECKED_AT_ONCE = 2_000_000, 4096
 
@@ -139,28 +140,59 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
+class CodeFilter:
+    """A set of 64-bit codes with false positives only, of a size that is bounded whatever the number of codes."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.mask = np.uint64(64 * len(words) - 1)
+
+    @classmethod
+    def of(cls, codes: DataFrame, expected: int) -> CodeFilter:
+        """From a column _code; a row per 64 bits of the filter reaches the driver."""
+        bits = min(max(FILTER_BITS[0], (16 * max(1, expected)).bit_length()), FILTER_BITS[1])
+        places = F.array(*[F.shiftrightunsigned("_code", by).bitwiseAND(F.lit((1 << bits) - 1)) for by in PROBES])
+        placed = codes.select(F.explode(places).alias("place"))
+        held = placed.groupBy(F.shiftright("place", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("word")).toPandas()
+        words = np.zeros(1 << (bits - 6), dtype=np.int64)
+        words[held["at"]] = held["word"]
+        return cls(words.view(np.uint64))
+
+    def might_contain(self, codes: np.ndarray) -> np.ndarray:
+        out = np.ones(codes.shape, dtype=bool)
+        for by in PROBES:
+            at = (codes >> np.uint64(by)) & self.mask
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return out
+
+
 @dataclass
 class ItemWords:
-    """users: how many items have a word of each bucket; slot: the used buckets' number, and ``size`` for all others."""
+    """users: how many items have a word of each bucket; slot: the used buckets' number; held: the filter of the words."""
 
     users: np.ndarray
     slot: np.ndarray
     size: int
     items: int
     levels: list[int]
+    held: CodeFilter
+
+    def slots(self, words: np.ndarray) -> np.ndarray:
+        """The bucket's number of each word, ``size`` for words that no item has."""
+        return np.where(self.held.might_contain(words) & (words > 0), self.slot[_buckets(words)], self.size)
 
     @classmethod
     def of(cls, items: DataFrame, text: str) -> ItemWords:
         """From all items, by partial sums of one row per bucket."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            users, counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64), np.zeros(1 + len(LEVELS), dtype=np.int64)
+            users, counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64), np.zeros(2 + len(LEVELS), dtype=np.int64)
             for _, texts in _chunks(batches):
                 pairs = np.unique((texts.of_word << BUCKET_BITS) + _buckets(texts.words))
                 users += np.bincount(pairs & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS)
-                counts[0] += len(texts.lengths)
+                counts[:2] += len(texts.lengths), len(texts.words)
                 for n, level in enumerate(_levels(texts.lengths)):
-                    counts[1 + n] += level.sum()
+                    counts[2 + n] += level.sum()
             some = np.flatnonzero(users)
             keys = np.concatenate([some, -1 - np.arange(len(counts))])
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([users[some], counts]))], names=["bucket", "n"])
@@ -173,7 +205,13 @@ class ItemWords:
                 users[bucket] = n
         size = int((users > 0).sum())
         slot = np.where(users > 0, np.cumsum(users > 0) - 1, size)
-        return cls(users, slot, size, found.get(-1, 0), [found.get(-2 - n, 0) for n in range(len(LEVELS))])
+
+        def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, texts in _chunks(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(texts.words).view(np.int64))], names=["_code"])
+
+        held = CodeFilter.of(items.select(text).mapInArrow(codes, "_code bigint"), found.get(-2, 0))
+        return cls(users, slot, size, found.get(-1, 0), [found.get(-3 - n, 0) for n in range(len(LEVELS))], held)
 
     @property
     def common_to(self) -> int:
@@ -234,7 +272,7 @@ class Latent:
         return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), np.float32(1e-30))
 
     def _sums(self, table: np.ndarray, words: np.ndarray) -> np.ndarray:
-        slots = np.where(words > 0, self.words.slot[_buckets(words)], self.words.size)
+        slots = self.words.slots(words)
         total = np.zeros((len(words), table.shape[1]), dtype=np.float32)
         for j in range(words.shape[1]):
             total += table[slots[:, j]]
@@ -277,12 +315,12 @@ def fit(documents: DataFrame, text: str, items: DataFrame, item_text: str, words
     """
     v, width = words.size, RANK + EXTRA
     sc = documents.sparkSession.sparkContext
-    slot = sc.broadcast(words.slot)
+    held = sc.broadcast(words)
 
     def work(batches: Iterator[pa.RecordBatch], weight: int) -> Iterator[pa.RecordBatch]:
         omega, df, total, n = _random(v), np.zeros(v, dtype=np.int64), np.zeros((v, width)), 0
         for batch, texts in _chunks(batches):
-            more, part = _moments(slot.value[_buckets(texts.words)], texts, omega)
+            more, part = _moments(held.value.slots(texts.words), texts, omega)
             df, total, n = df + more, total + part, n + batch.num_rows
         some = np.flatnonzero(total.any(axis=1))
         columns = [np.append(some, -1), weight * np.append(df[some], n), *np.vstack([total[some], np.zeros(width)]).T]
@@ -370,33 +408,12 @@ def _index(items: DataFrame, item: str, text: str, model, short: bool) -> DataFr
     return items.select(item, text).mapInArrow(work, schema)
 
 
-class CodeFilter:
-    """A set of codes with false positives only, of a size that is bounded whatever the number of codes."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-        self.mask = np.uint64(64 * len(words) - 1)
-
-    @classmethod
-    def of(cls, codes: DataFrame, expected: int) -> CodeFilter:
-        bits = min(max(FILTER_BITS[0], (16 * max(1, expected)).bit_length()), FILTER_BITS[1])
-        place = F.col("_code").bitwiseAND(F.lit((1 << bits) - 1))
-        held = codes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(_code & 63 AS INT)))").alias("word")).toPandas()
-        words = np.zeros(1 << (bits - 6), dtype=np.int64)
-        words[held["at"]] = held["word"]
-        return cls(words.view(np.uint64))
-
-    def might_contain(self, codes: np.ndarray) -> np.ndarray:
-        at = codes & self.mask
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-
-
 def _known(space: Latent, texts: Texts) -> tuple[Texts, np.ndarray]:
     """The words of items alone, cut where over GAP other words stand between two, and the text of each piece.
 
     Other words have no part in vectors or common subsequences, so rewordings may have any number of them within GAP.
     """
-    kept = np.flatnonzero(space.words.slot[_buckets(texts.words)] < space.words.size)
+    kept = np.flatnonzero(space.words.held.might_contain(texts.words))
     text = texts.of_word[kept]
     first = np.ones(len(kept), dtype=bool)
     first[1:] = (text[1:] != text[:-1]) | (kept[1:] - kept[:-1] > GAP + 1)
@@ -411,7 +428,7 @@ def _document_passages(space: Latent, texts: Texts, short: bool, common: float)
     as its longest common subsequence with an item passage needs. All others cannot be in the result.
     """
     if short:
-        known = np.concatenate([[0], np.cumsum(space.words.slot[_buckets(texts.words)] < space.words.size)])
+        known = np.concatenate([[0], np.cumsum(space.words.held.might_contain(texts.words))])
         places = np.flatnonzero(known[SHORT:] - known[:-SHORT] == SHORT)
         text = texts.of_word
         places = places[text[places] == text[places + SHORT - 1]]

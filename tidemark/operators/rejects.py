@@ -317,7 +317,8 @@ def read_lines(df: DataFrame, keep: list[str], line: str = "line", fmt: str = "f
     easy = F.when(F.col("_kind").isNull(), "format").when(csv, EVENT_CSV.reason(text)).when(spelt, UNTOLD).otherwise(EVENT_JSON.reason(text))
     # Told once; what follows refers to it.
     rows = rows.withColumn("_told", easy).withColumn("_hard", F.when(F.col("_told") == UNTOLD, text))
-    rows = rows.withColumn("_read", _json_rows("_hard"))
+    # Called nondeterministic, so that no filter on the reason is moved below it, with a second evaluation of all of this.
+    rows = rows.withColumn("_read", _json_rows.asNondeterministic()("_hard"))
     rows = rows.withColumn("_reason", F.when(F.col("_told") == UNTOLD, F.col("_read.reason")).otherwise(F.nullif("_told", F.lit(""))))
     loads = F.col("_reason").isNull()
     # Of members of one name, the last counts, here as in Python.
